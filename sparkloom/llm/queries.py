@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .neardup import op7_minhash_near_dedup
-from .sketch import op3_document_fingerprints
+from . import divergence, hilbert, mixing, neardup, sketch, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_document_fingerprints": op3_document_fingerprints,
-    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_quality_divergence": divergence.op2_quality_divergence,
+    "op3_document_fingerprints": sketch.op3_document_fingerprints,
+    "op6_warc_bundles": warc.op6_warc_bundles,
+    "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
+    "op8_url_filters": urlfilter.op8_url_filters,
+    "op9_hilbert_sharding": hilbert.op9_hilbert_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.oracle_sql(),
+    "op2_quality_divergence": divergence.oracle_sql(),
+    "op8_url_filters": urlfilter.oracle_sql(),
+    "op9_hilbert_sharding": hilbert.oracle_sql(),
+}
