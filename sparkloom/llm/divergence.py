@@ -160,7 +160,7 @@ def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = references(with_trust(docs, table(spark, sf_dir, "labels")).where("trusted").select("lang", "text"))
     return judged(pick(docs, "doc_id", "lang", "text"), refs).where("keep__").select(
         "doc_id", "lang", F.col("n_letters__").alias("n_chars"), F.col("n_words__").alias("n_words"),
-        F.round("class_distance__", 4).alias("class_distance"), F.round("word_distance__", 4).alias("word_distance"),
+        F.col("class_distance__").alias("class_distance"), F.col("word_distance__").alias("word_distance"),
     )
 
 
@@ -191,7 +191,7 @@ def oracle_sql() -> str:
       SELECT doc_id, round({js}, 6) AS wd
       FROM (SELECT d.doc_id, coalesce(found.n, 0) / n_words AS p, q FROM d JOIN n_words USING (doc_id) JOIN word_ref USING (l)
             LEFT JOIN found ON found.doc_id = d.doc_id AND found.word = word_ref.word WHERE n_words >= {MIN_WORDS}) GROUP BY 1)
-    SELECT doc_id, lang, n_chars, coalesce(n_words, 0) AS n_words, round(cd, 4) AS class_distance, round(wd, 4) AS word_distance
+    SELECT doc_id, lang, n_chars, coalesce(n_words, 0) AS n_words, cd AS class_distance, wd AS word_distance
     FROM d LEFT JOIN n_words USING (doc_id) LEFT JOIN kind_dist USING (doc_id) LEFT JOIN word_dist USING (doc_id)
     WHERE n_chars > 0 AND NOT coalesce(cd > {MAX_CLASS_DISTANCE}, false) AND NOT coalesce(wd > {MAX_WORD_DISTANCE}, false)
     """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, hilbert, mixing, neardup, sketch, urlfilter, warc
+from . import divergence, hilbert, langid, mixing, neardup, sketch, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
     "op8_url_filters": urlfilter.op8_url_filters,
     "op9_hilbert_sharding": hilbert.op9_hilbert_sharding,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
