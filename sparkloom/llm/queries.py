@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, hilbert, kneser, langid, mixing, neardup, sketch, urlfilter, warc
+from . import divergence, hilbert, kneser, langid, mixing, neardup, pieces, sketch, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_quality_divergence": divergence.op2_quality_divergence,
     "op3_document_fingerprints": sketch.op3_document_fingerprints,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_quality_classifier": kneser.op5_quality_classifier,
     "op6_warc_bundles": warc.op6_warc_bundles,
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
