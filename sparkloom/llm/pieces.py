@@ -162,7 +162,7 @@ _P = V.U64(V.BASE)
 
 def _window_hash(codes: np.ndarray, last: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hash of the ``size`` characters up to ``last``, from the last one back."""
-    out, weight = np.zeros(len(last), V.U64), 1
+    out, weight = np.zeros(len(last), V.U64), V.STEP
     for k in range(int(size.max(initial=0))):
         some = size > k
         out[some] += codes[last[some] - k].astype(V.U64) * V.U64(weight)
@@ -213,7 +213,7 @@ class Encoder:
         rows, n = x.shape
         most = min(n, self.m.longest)
         ends = np.full((most + 1, rows, n), -1, np.int64)
-        h, weight = np.zeros((rows, n), V.U64), 1
+        h, weight = np.zeros((rows, n), V.U64), V.STEP
         for size in range(1, most + 1):
             h[:, size - 1 :] += x[:, : n - size + 1] * V.U64(weight)
             weight = weight * V.BASE & V.MASK
@@ -275,7 +275,7 @@ class Encoder:
     def _long(self, x: np.ndarray) -> np.ndarray:
         """The same for one long stretch, all piece ends looked up in advance."""
         n, most = len(x), self.m.longest
-        h, weight = np.zeros(n, V.U64), 1
+        h, weight = np.zeros(n, V.U64), V.STEP
         sizes_at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for size in range(1, most + 1):
             h[size - 1 :] += x[: n - size + 1].astype(V.U64) * V.U64(weight)
