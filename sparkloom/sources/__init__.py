@@ -1,0 +1 @@
+"""Reading entities and shaping them into searchable documents."""
