@@ -47,11 +47,16 @@ def text_tokens(texts: DataFrame, id_col: str = "_id", text_col: str = "content"
 
 
 def found(phrases: DataFrame, tokens: DataFrame, slop: int = SETTINGS.percolate_slop) -> DataFrame:
-    """(phrase, _id, freq): where each distinct phrase is. The tokens are joined with
-    the slots of distinct phrases; those of a phrase and text that lack a slot go
-    before the window."""
+    """(phrase, _id, freq): where each distinct phrase is. A phrase is looked for only
+    in texts that have the rarest of its terms, so that common words never meet all
+    texts; pairs that lack a slot go before the window."""
     slots = phrases.select("phrase", "slot", "term", "n_slots").distinct()
-    met = tokens.join(slots, "term")
+    places = tokens.select("_id", "term").distinct().join(slots.select("term").distinct(), "term", "left_semi")
+    df = places.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = slots.join(df, "term", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"))
+    anchors = rarest.where("r.df > 0").select("phrase", F.col("r.term").alias("term"))
+    candidates = places.join(anchors, "term").select("_id", "phrase")
+    met = candidates.join(slots, "phrase").join(tokens, ["_id", "term"])
     single = met.where("n_slots = 1").groupBy("phrase", "_id").agg(F.count("*").cast("double").alias("freq"))
     several = met.where("n_slots > 1")
     whole = several.groupBy("phrase", "_id", "n_slots").agg(F.count_distinct("slot").alias("n")).where("n = n_slots").select("phrase", "_id")

@@ -43,7 +43,7 @@ def field_column(df: DataFrame, field: str) -> tuple[Column, T.DataType]:
 
 def _typed(kind: T.DataType, value) -> Column:
     v = F.lit(str(value))
-    if isinstance(kind, (T.TimestampType, T.DateType)):
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return parse_date(v)
     return v.try_cast(kind)
 
@@ -73,7 +73,7 @@ def bound(kind: T.DataType, op: str, value) -> Column:
     """The limit of a range. ``1970||/y`` rounds to the unit: down for gte and lt,
     to its last moment for lte and gt."""
     text, _, rounding = str(value).partition("||/")
-    if not isinstance(kind, (T.TimestampType, T.DateType)):
+    if not isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return parse_number(F.lit(text)) if isinstance(kind, T.NumericType) else F.lit(text)
     at = parse_date(F.lit(text))
     if not rounding:
