@@ -147,8 +147,9 @@ def train(rows: DataFrame) -> DataFrame:
             .join(below.select("lang", F.col("gram").alias("s"), F.col("p").alias("lower")), ["lang", "s"])
             .select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * F.col("lower")).alias("p"))
         )
-        weighed = below.join(history.withColumnRenamed("h", "gram"), ["lang", "gram"], "left").select(
-            "lang", "gram", F.log("p").alias("p"), F.coalesce(F.log("weight"), F.lit(0.0)).alias("g")
+        #: Histories that end in a mark are n-grams of no probability of their own.
+        weighed = below.join(history.withColumnRenamed("h", "gram"), ["lang", "gram"], "full").select(
+            "lang", "gram", F.coalesce(F.log("p"), F.lit(0.0)).alias("p"), F.coalesce(F.log("weight"), F.lit(0.0)).alias("g")
         )
         out = weighed if out is None else out.union(weighed)
         below = cut(p, "order")
@@ -335,7 +336,7 @@ def judged(df: DataFrame, docs: DataFrame, labels: DataFrame, text: str, lang: s
 def keep(docs: DataFrame, labels: DataFrame, sent: int = SENT_ROWS) -> DataFrame:
     """The documents that aren't rejected, with all their columns.
 
-    A text without symbols (null, empty) is rejected. A document of a language
+    A text without symbols (null, empty, blank) is rejected. A document of a language
     without trusted text can't be judged and stays; a null language is one of its
     own. Equal texts of a language are judged alike and repeated rows stay or go
     together; ties with the limit stay. A text of any length counts whole."""
