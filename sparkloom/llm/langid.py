@@ -124,6 +124,13 @@ def _clustered(x: np.ndarray, k: int) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
 
 
+def _centroids(x: np.ndarray, own: np.ndarray, languages: list[str], k: int) -> tuple[np.ndarray, list[str]]:
+    per = [(g, _clustered(x[own == i], k)) for i, g in enumerate(languages) if (own == i).any()]
+    if not per:
+        return np.zeros((0, DIMS), np.float32), []
+    return np.concatenate([c for _, c in per]).astype(np.float32), [g for g, c in per for _ in range(len(c))]
+
+
 def _length(letters: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(letters, 1)).astype(np.int64), 40)
 
@@ -163,10 +170,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, k: i
     means = np.stack([x[own == i].mean(0) for i in range(len(languages))])
     means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
     stays = (x @ means.T).argmax(1) == own
-    per = [_clustered(x[stays & (own == i)], k) if (stays & (own == i)).any() else means[i : i + 1] for i in range(len(languages))]
-    centroids = np.concatenate(per).astype(np.float32)
-    names = [languages[i] for i, c in enumerate(per) for _ in range(len(c))]
-    distance = 1 - (x[stays] @ centroids.T).max(1)
+    centroids, names = _centroids(x[stays], own[stays], languages, k)
+    #: Distances of rows from centroids they weren't fitted to, half against half.
+    half = np.arange(int(stays.sum())) % 2 == 0
+    distance = np.zeros(len(half))
+    for part in (half, ~half):
+        other, _ = _centroids(x[stays][~part], own[stays][~part], languages, k)
+        if len(other):
+            distance[part] = 1 - (x[stays][part] @ other.T).max(1)
     length = _length(np.array([r.letters for r in rows])[stays])
     #: The longer a text the nearer it is; a length has the limit of the next shorter at most.
     limits = np.full(41, 1.0)
