@@ -86,9 +86,11 @@ def b_of(field: Column) -> Column:
 
 
 def scored_postings(post: DataFrame, stats: DataFrame) -> DataFrame:
-    """Postings with ``score``, the term's BM25 in its field (keyword fields: idf)."""
-    df = F.count("*").over(W.partitionBy("field", "term"))
-    joined = post.withColumn("df", df).join(F.broadcast(stats), "field")  # a row a field
+    """Postings with ``score``, the term's BM25 in its field (keyword fields: idf).
+    Document frequencies are counted with partial sums and joined, so that no task
+    has to hold the whole list of a common term."""
+    df = post.groupBy("field", "term").agg(F.count("*").alias("df"))
+    joined = post.join(df, ["field", "term"]).join(F.broadcast(stats), "field")  # a row a field
     keyword = F.col("field").isin(*KEYWORDS)
     tf = F.col("tf").cast("double")
     full = bm25(tf, F.col("dl"), F.col("avg_dl"), F.col("n_docs"), F.col("df"), b_of(F.col("field")))

@@ -14,6 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import model
 from ..operators import predicates as P
@@ -62,25 +63,28 @@ class EntityStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> int:
-        """0 if the table isn't there, else a number that each write raises."""
+    def _current(self) -> dict:
         fs, path = self._fs()
         at = path(f"{self.path}/_CURRENT")
         if not fs.exists(at):
-            return 0
+            return {"version": 0}
         stream = fs.open(at)
         try:
-            return int(bytes(stream.readAllBytes()).decode())
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def version(self) -> int:
+        """0 if the table isn't there, else a number that each write raises."""
+        return self._current()["version"]
+
     def _publish(self, df: DataFrame) -> None:
         n = self.version() + 1
         df.write.mode("overwrite").partitionBy(PARTITION).parquet(f"{self.path}/v{n}")
         fs, path = self._fs()
         new = path(f"{self.path}/_CURRENT.new")
         out = fs.create(new, True)
-        out.write(bytearray(str(n).encode()))
+        out.write(bytearray(json.dumps({"version": n, "schema": df.schema.jsonValue()}).encode()))
         out.close()
         fs.delete(path(f"{self.path}/_CURRENT"), False)
         fs.rename(new, path(f"{self.path}/_CURRENT"))
@@ -89,10 +93,10 @@ class EntityStore:
 
     def read(self, schemata: list[str] | None = None) -> DataFrame:
         """The table; only the partitions of the given classes and those below."""
-        n = self.version()
-        if not n:
+        now = self._current()
+        if not now["version"]:
             raise ValueError(f"no table at {self.path}")
-        df = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/v{n}")
+        df = self.spark.read.schema(T.StructType.fromJson(now["schema"])).parquet(f"{self.path}/v{now['version']}")
         return df.where(F.col(PARTITION).isin(model.buckets_of(schemata))) if schemata else df
 
     def create(self, like: DataFrame) -> None:
