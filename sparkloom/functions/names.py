@@ -39,12 +39,14 @@ def normalize_name(name: str) -> str:
 def ascii_name(name: Column) -> Column:
     """Normal form with Cyrillic and Greek letters in Latin script."""
     single = {k: v for k, v in LATIN.items() if len(v) == 1}
-    out = name_normal(name)
+    normal = name_normal(name)
+    out = normal
     for k, v in LATIN.items():
         if len(v) > 1:
             out = F.replace(out, F.lit(k), F.lit(v))
     gone = "".join(k for k, v in LATIN.items() if not v)
-    return F.translate(out, "".join(single) + gone, "".join(single.values()))
+    latin = F.translate(out, "".join(single) + gone, "".join(single.values()))
+    return F.when(normal.rlike(r"[^\x00-\x7F]"), latin).otherwise(normal)
 
 
 def ascii_text(name: str) -> str:
@@ -64,28 +66,26 @@ def name_tokens(schema: Column, name: Column) -> Column:
     return F.filter(F.split(without_forms(schema, ascii_name(name)), " "), lambda t: t != "")
 
 
-def _each(names: Column, of) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce(names, F.array().cast("array<string>")), of))))
+def token_lists(schema: Column, names: Column) -> Column:
+    """Of each name its tokens; what keys, parts and phonetic forms are made from."""
+    return F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: name_tokens(schema, n))
 
 
-def name_keys(schema: Column, names: Column) -> Column:
-    """Of each name its tokens, sorted and joined, if longer than five characters."""
+def _all(lists: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(lists)))
 
-    def key(n: Column) -> Column:
-        k = F.array_join(F.array_sort(name_tokens(schema, n)), "")
-        return F.when(F.length(k) > 5, F.array(k)).otherwise(F.array().cast("array<string>"))
 
-    return _each(names, key)
+def name_keys(tokens: Column) -> Column:
+    """Of each name its tokens, sorted and joined, if longer than five characters."""
+    keys = F.transform(tokens, lambda ts: F.array_join(F.array_sort(ts), ""))
+    return F.array_sort(F.array_distinct(F.filter(keys, lambda k: F.length(k) > 5)))
 
 
-def name_parts(schema: Column, names: Column) -> Column:
+def name_parts(schema: Column, names: Column, tokens: Column) -> Column:
     """Tokens of at least two characters, in the name's script and in Latin; legal entities only."""
-
-    def parts(n: Column) -> Column:
-        own = F.split(name_normal(n), " ")
-        return F.filter(F.array_union(own, name_tokens(schema, n)), lambda t: F.length(t) >= 2)
-
-    return F.when(schema.isin(*LEGAL), _each(names, parts)).otherwise(F.array().cast("array<string>"))
+    own = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.split(name_normal(n), " "))
+    parts = F.filter(_all(F.concat(own, tokens)), lambda t: F.length(t) >= 2)
+    return F.when(schema.isin(*LEGAL), parts).otherwise(F.array().cast("array<string>"))
 
 
 def metaphone(word: str) -> str:
@@ -197,9 +197,8 @@ def phonetic_tokens(tokens: Column) -> Column:
     return sound(tokens)
 
 
-def name_phonetic(schema: Column, names: Column) -> Column:
-    legal = F.when(schema.isin(*LEGAL), names).otherwise(F.array().cast("array<string>"))
-    return phonetic_tokens(_each(legal, lambda n: name_tokens(schema, n)))
+def name_phonetic(schema: Column, tokens: Column) -> Column:
+    return phonetic_tokens(F.when(schema.isin(*LEGAL), _all(tokens)).otherwise(F.array().cast("array<string>")))
 
 
 def name_ngrams(text: str, least: int = 2, most: int = 4) -> list[str]:

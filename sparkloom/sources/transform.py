@@ -98,11 +98,13 @@ def documents(entities: DataFrame, dataset: str | None = None, collection_id: in
     caption_values = F.flatten(F.transform(caption, lambda c: F.coalesce(F.try_element_at(F.col("properties"), c), _empty())))
     raw_names = F.array_distinct(_together([values(n) for n, k in types.items() if k == "name"]))
     schema = F.col("schema")
+    df = df.withColumn("tokens__", N.token_lists(schema, raw_names))
+    tokens = F.col("tokens__")
     groups = {
         g: F.array_distinct(_together([values(n) for n, k in types.items() if model.GROUPS.get(k) == g])) for g in sorted(set(model.GROUPS.values())) if g not in ("names", "dates")
     }
     dates = F.array_distinct(F.filter(F.transform(_together([values(n) for n, k in types.items() if k == "date"]), parse_date), lambda d: d.isNotNull()))
-    parts = N.name_parts(schema, raw_names)
+    parts = N.name_parts(schema, raw_names, tokens)
     marks = F.create_map(*[F.lit(x) for kv in symbols.items() for x in kv]) if symbols else None
     symbol = F.array_distinct(F.filter(F.transform(parts, lambda p: F.try_element_at(marks, p)), lambda s: s.isNotNull())) if symbols else _empty()
     other = [values(n) for n, k in types.items() if k not in model.TEXT_TYPES and n != "translatedText"]
@@ -118,8 +120,8 @@ def documents(entities: DataFrame, dataset: str | None = None, collection_id: in
         F.coalesce(F.get(caption_values, F.lit(0)), F.get(raw_names, F.lit(0)), schema).alias("caption"),
         F.array_distinct(caption_values).alias("name"),
         F.array_distinct(F.filter(F.transform(raw_names, N.name_normal), lambda n: n != "")).alias("names"),
-        N.name_keys(schema, raw_names).alias("name_keys"), parts.alias("name_parts"),
-        N.name_phonetic(schema, raw_names).alias("name_phonetic"), symbol.alias("name_symbols"),
+        N.name_keys(tokens).alias("name_keys"), parts.alias("name_parts"),
+        N.name_phonetic(schema, tokens).alias("name_phonetic"), symbol.alias("name_symbols"),
         geo_points().alias("geo_point"), F.coalesce("referents", _empty()).alias("referents"),
         F.concat(_together([values(n) for n in running]), plain).alias("content"),
         F.concat(_together(other), parts).alias("text"),
