@@ -38,8 +38,10 @@ SPACE = 0x2581
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: Stretches up to this length are encoded together, longer ones each by itself.
 LONG = 48
+#: So much text is encoded at a time, in bytes; a longer text by itself.
+SLICE = 2_000_000
 #: A worker forgets the stretches it remembers when there are so many.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -181,10 +183,10 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        #: Hash of a stretch -> its row in start and count; they tell where in ids.
-        self.memory: dict[int, int] = {}
+        #: Sorted hashes of stretches, where in ids each one's pieces start, and how many.
+        self.memory = np.zeros(0, V.U64)
         self.ids = np.zeros(0, np.int32)
-        self.start = self.count = np.zeros(0, np.int64)
+        self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging pieces a and b, from characters, gives just a and b: no
@@ -354,18 +356,18 @@ class Encoder:
         distinct, first, of = np.unique(h, return_index=True, return_inverse=True)
         if len(self.memory) > REMEMBERED:
             self.forget()
-        get = self.memory.get
-        row = np.fromiter((get(k, -1) for k in distinct.tolist()), np.int64, len(distinct))
-        new = np.flatnonzero(row < 0)
+        at = np.minimum(np.searchsorted(self.memory, distinct), max(len(self.memory) - 1, 0))
+        new = np.flatnonzero(self.memory[at] != distinct) if len(self.memory) else np.arange(len(distinct))
         if len(new):
             ids, start, count = self.stretches(codes, begin[first[new]], end[first[new]])
-            base = len(self.start)
-            self.memory.update(zip(distinct[new].tolist(), range(base, base + len(new))))
-            row[new] = np.arange(base, base + len(new))
-            self.start = np.concatenate([self.start, start + len(self.ids)])
-            self.count = np.concatenate([self.count, count])
+            memory = np.concatenate([self.memory, distinct[new]])
+            order = np.argsort(memory, kind="stable")
+            self.memory = memory[order]
+            self.start = np.concatenate([self.start, (start + len(self.ids)).astype(np.int32)])[order]
+            self.count = np.concatenate([self.count, count.astype(np.int32)])[order]
             self.ids = np.concatenate([self.ids, ids])
-        return self.ids, self.start[row[of]], self.count[row[of]]
+            at = np.searchsorted(self.memory, distinct)
+        return self.ids, self.start[at[of]].astype(np.int64), self.count[at[of]].astype(np.int64)
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
         """The text of each run of ids; broken UTF-8 gives U+FFFD."""
@@ -431,7 +433,7 @@ def with_ids(df: DataFrame, text: str, path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(name, machine.value)
         for batch in batches:
-            for part in V.slices(batch, text, 4_000_000):
+            for part in V.slices(batch, text, SLICE):
                 ids, starts = encoder.encode(part.column(text))
                 missing = pc.is_null(part.column(text))
                 made = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids, pa.int32()), mask=missing)
@@ -440,6 +442,24 @@ def with_ids(df: DataFrame, text: str, path: str = MODEL) -> DataFrame:
     return df.mapInArrow(run, f"{fields}, ids__ array<int>")
 
 
+def with_ids_and_text(df: DataFrame, text: str, path: str = MODEL) -> DataFrame:
+    """The same with what the ids decode to, text__, in one pass through Python."""
+    name, machine = _sent(df.sparkSession, path)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(name, machine.value)
+        for batch in batches:
+            for part in V.slices(batch, text, SLICE):
+                ids, starts = encoder.encode(part.column(text))
+                missing = pc.is_null(part.column(text))
+                made = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids, pa.int32()), mask=missing)
+                back = pa.array(encoder.decode(ids, starts), pa.string(), mask=missing.to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*part.columns, made, back], names=[*part.schema.names, "ids__", "text__"])
+
+    return df.mapInArrow(run, f"{fields}, ids__ array<int>, text__ string")
+
+
 def with_text(df: DataFrame, ids: str, path: str = MODEL) -> DataFrame:
     """All columns of ``df``, and text__ of the ids."""
     name, machine = _sent(df.sparkSession, path)
@@ -484,5 +504,5 @@ def tokenized(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> Dat
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids, text): each document's pieces, and what these decode to."""
-    both = with_text(with_ids(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), "text"), "ids__")
+    both = with_ids_and_text(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), "text")
     return both.select("doc_id", F.col("ids__").alias("ids"), F.col("text__").alias("text"))
