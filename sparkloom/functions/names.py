@@ -202,8 +202,12 @@ def name_phonetic(schema: Column, tokens: Column) -> Column:
 
 
 def name_ngrams(text: str, least: int = 2, most: int = 4) -> list[str]:
-    """Name keys of all runs of two to four words of a query text."""
-    w = ascii_text(text).split()
+    """Name keys of all runs of two to four words of a query text, with legal forms
+    as names have them."""
+    joined = f" {ascii_text(text)} "
+    for long, short in sorted(ORG_FORMS.items(), key=lambda kv: -len(kv[0])):
+        joined = joined.replace(f" {long} ", f" {short} ")
+    w = joined.split()
     out = {"".join(sorted(w[i : i + k])) for k in range(least, most + 1) for i in range(len(w) - k + 1)}
     return sorted(k for k in out if len(k) >= 6)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
+from ..functions import names as N
 from ..operators import facets, geo, highlighting, matching, phrases, significant, similar, sorting
 from ..operators import predicates as P
 from ..operators.fulltext import SearchIndex
@@ -58,9 +59,10 @@ class EntitiesQuery:
     default_schemata: tuple[str, ...] = ("Thing",)
     prefix_field = "name_parts"
 
-    def __init__(self, index: SearchIndex, params: Params, synonyms: dict[str, list[str]] | None = None):
+    def __init__(self, index: SearchIndex, params: Params, synonyms: dict[str, list[str]] | None = None, symbols: dict[str, str] | None = None):
         self.index, self.params = index, params
         self.synonyms = synonyms if params.synonyms else None
+        self.symbols = symbols or {}
 
     @cached_property
     def tree(self) -> Node:
@@ -105,13 +107,24 @@ class EntitiesQuery:
         late = set(self.params.facets) - {"schema", "schemata"}
         return {f: t for f, t in self.tests().items() if f in late}
 
+    def expanded(self, docs: DataFrame, hits: DataFrame) -> DataFrame:
+        """Hits, and documents with a name key of two to four words of the text (0.3)
+        or a symbol of one of its words (0.5); only where synonyms are asked for."""
+        keys = N.name_ngrams(self.params.q)
+        marks = sorted({self.symbols[t] for t in N.ascii_text(self.params.q).split() if t in self.symbols})
+        for field, values, weight in (("name_keys", keys, 0.3), ("name_symbols", marks, 0.5)):
+            if values and field in docs.columns:
+                hits = hits.unionByName(docs.where(P.shares(docs, field, values)).select("_id", F.lit(weight).alias("score")))
+        return hits.groupBy("_id").agg(F.sum("score").alias("score"))
+
     def base(self) -> DataFrame:
         """All columns and ``score`` of what passes the conditions before facets."""
         docs = self.index.docs.where(P.all_of(self.before()))
         if self.tree.kind == "all":
             rows = docs.withColumn("score", F.lit(1.0))
         else:
-            rows = docs.join(self.index.search(self.tree, self.synonyms), "_id")
+            hits = self.index.search(self.tree, self.synonyms)
+            rows = docs.join(self.expanded(docs, hits) if self.params.synonyms else hits, "_id")
         if SETTINGS.function_score and not self.params.is_empty:
             rows = rows.withColumn("score", boosted(F.col("score"), rows))
         return rows

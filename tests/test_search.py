@@ -167,6 +167,13 @@ def test_synonyms(index):
     assert sorted(find(index, "freight", "synonyms=true", synonyms=rules)) == ["d1", "d3", "g1"]
 
 
+def test_name_keys_and_symbols_of_the_text(index):
+    assert find(index, "Nordwind Shipping Limited Kiel") == []
+    assert sorted(find(index, "Nordwind Shipping Limited Kiel", "synonyms=true")) == ["c1", "c2"]
+    q = S.EntitiesQuery(index, from_url("Vladimir Nobody", "synonyms=true"), symbols={"vladimir": "N1"})
+    assert sorted(ids(q.search())) == ["p4", "p5"]
+
+
 def test_bodies(index):
     body = {"query": {"bool": {"must": {"term": {"schema": "Person"}}, "must_not": [{"exists": {"field": "emails"}}], "should": [{"prefix": {"name_parts": "iva"}}], "minimum_should_match": 1}}}
     assert sorted(ids(S.search_body(index, body))) == ["p4", "p5"]
