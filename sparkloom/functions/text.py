@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ZWJ = "‍"
@@ -73,8 +73,14 @@ ANALYZERS = {"content": "folded", "text": "folded", "translation": "folded", "na
 
 def words(text: Column, analyzer: str = "folded") -> Column:
     """Tokens in order. ``folded`` strips markup and accents, ``lower`` only lowers."""
-    ready = fold(strip_html(text)) if analyzer == "folded" else F.lower(text)
-    return F.regexp_extract_all(ready, F.lit(WORD), F.lit(0))
+    if analyzer == "folded":
+        bare = F.when(text.rlike("[<&]"), strip_html(text)).otherwise(text)
+        ready = F.when(bare.rlike(r"[^\x00-\x7F]"), fold(bare)).otherwise(F.lower(bare))
+    else:
+        ready = F.lower(text)
+    #: Most texts need neither markers nor ideographs, and have a simpler pattern.
+    plain = F.regexp_extract_all(ready, F.lit(WORD_SQL), F.lit(0))
+    return F.when(text.rlike(rf"[\p{{IsHan}}{ZWJ}]"), F.regexp_extract_all(ready, F.lit(WORD), F.lit(0))).otherwise(plain)
 
 
 def tokens(text: Column, analyzer: str = "folded") -> Column:
@@ -86,6 +92,14 @@ def tokens(text: Column, analyzer: str = "folded") -> Column:
     return F.flatten(spread)
 
 
+def exploded(df: DataFrame, text: Column, analyzer: str, *more: str | Column) -> DataFrame:
+    """(more..., pos, term): a row for each token, by generators that run in compiled
+    code rather than by functions over arrays."""
+    each = df.select(*more, F.posexplode(words(text, analyzer)).alias("pos", "word__"))
+    kept = [c for c in each.columns if c != "word__"]
+    return each.select(*kept, F.explode(F.split("word__", ZWJ)).alias("term")).where("term <> ''")
+
+
 _PY_WORD = re.compile(rf"[一-鿿㐀-䶿]|[\w{ZWJ}]+(?:[.'’][\w{ZWJ}]+)*")
 
 

@@ -40,19 +40,18 @@ def postings(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
             part = spread.select(F.lit(f).alias("field"), "term", "_id", F.lit(1).alias("tf"), F.array(F.lit(0)).alias("positions"), F.lit(1).alias("dl"))
         else:
             kind = X.ANALYZERS.get(f, "lower")
-            each = docs.select("_id", F.posexplode(column).alias("v", "value")).select("_id", "v", X.tokens(F.col("value"), kind).alias("ts"))
-            #: Where a value begins: after all tokens before it, and the gaps.
-            w = W.partitionBy("_id").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-            sized = each.withColumn("n", F.size("ts"))
-            one = isinstance(docs.schema[f].dataType, T.StringType)
-            start = F.lit(0) if one else F.coalesce(F.sum("n").over(w), F.lit(0)) + 100 * F.col("v")
-            length = F.col("n") if one else F.sum("n").over(W.partitionBy("_id"))
-            placed = sized.withColumns({"start": start, "dl": length}).select("_id", "dl", "start", F.explode("ts").alias("t"))
-            part = (
-                placed.groupBy("_id", F.col("t.term").alias("term"))
-                .agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list((F.col("start") + F.col("t.pos")).cast("int"))).alias("positions"), F.first("dl").cast("int").alias("dl"))
-                .select(F.lit(f).alias("field"), "term", "_id", "tf", "positions", "dl")
-            )
+            if isinstance(docs.schema[f].dataType, T.StringType):
+                placed = X.exploded(docs.where(F.col(f).isNotNull()), F.col(f), kind, "_id").withColumn("at", F.col("pos"))
+            else:
+                each = docs.select("_id", F.posexplode(column).alias("v", "value"))
+                #: Where a value begins: after all words before it, and the gaps.
+                w = W.partitionBy("_id").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+                sized = each.withColumn("n", F.size(X.words(F.col("value"), kind)))
+                started = sized.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)) + 100 * F.col("v"))
+                placed = X.exploded(started, F.col("value"), kind, "_id", "start").withColumn("at", F.col("start") + F.col("pos"))
+            per = placed.groupBy("_id", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list(F.col("at").cast("int"))).alias("positions"))
+            length = per.groupBy("_id").agg(F.sum("tf").cast("int").alias("dl"))
+            part = per.join(length, "_id").select(F.lit(f).alias("field"), "term", "_id", "tf", "positions", "dl")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -42,8 +42,7 @@ def text_tokens(texts: DataFrame, id_col: str = "_id", text_col: str = "content"
     column = F.col(text_col)
     if texts.schema[text_col].dataType.typeName() == "array":
         column = F.array_join(column, " " + " ".join(["␞"] * 100) + " ")
-    toks = texts.select(F.col(id_col).alias("_id"), F.explode(X.tokens(column, analyzer)).alias("t"))
-    return toks.select("_id", F.col("t.term").alias("term"), F.col("t.pos").alias("pos"))
+    return X.exploded(texts, column, analyzer, F.col(id_col).alias("_id")).select("_id", "term", "pos")
 
 
 def found(phrases: DataFrame, tokens: DataFrame, slop: int = SETTINGS.percolate_slop) -> DataFrame:

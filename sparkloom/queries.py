@@ -33,11 +33,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores (one small file) is spread over
+    them before its texts are analysed; a larger one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 # the test tables as documents
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "source", "text", "lang", "n_chars"))
     return d.select(F.col("doc_id").cast("string").alias("_id"), "doc_id", F.col("source").alias("dataset"), F.lit("PlainText").alias("schema"), F.col("text").alias("content"), "lang", "n_chars")
 
 
