@@ -35,6 +35,8 @@ PRIOR = 64
 #: larger model is joined with the documents' n-grams, with the same result.
 SENT_ROWS = 6_000_000
 MARK, SPACE, DIGIT = 2, 32, 48
+#: So much text is counted, or scored, at a time, in bytes; a longer text by itself.
+COUNTED, SCORED = 1_500_000, 400_000
 
 
 def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +95,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in V.slices(batch, "text", 4_000_000):
+            for part in V.slices(batch, "text", COUNTED):
                 x, begin = symbols(part.column("text"))
                 d = pc.dictionary_encode(pc.fill_null(part.column("lang"), ""))
                 at = _places(begin)
@@ -237,7 +239,7 @@ def scored(df: DataFrame, model: DataFrame, text: str, lang: str, sent: int = SE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look, langs = table_.value
         for batch in batches:
-            for part in V.slices(batch, text):
+            for part in V.slices(batch, text, SCORED):
                 x, begin = symbols(part.column(text))
                 n = np.diff(begin) - (ORDER - 1)
                 log_p = _log_p(x, _places(begin), np.repeat(_seeds(part.column(lang)), n), look)
