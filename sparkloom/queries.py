@@ -428,8 +428,9 @@ def blocking_pairs(spark, sf):
 
 @query()
 def match_entity(spark, sf):
+    """Of each part all others that match it: every row is a query."""
     d = part_docs(spark, sf)
-    return matching.matches(d.where("_id = '1'"), d).select("source_id", "_id", F.round("score", 4).alias("score"))
+    return matching.matches(d, d).select("source_id", "_id", F.round("score", 4).alias("score"))
 
 
 @query("SELECT s_suppkey AS id, s_name AS caption, n_name AS country, 'things' AS bucket, 2 AS num_values FROM supplier JOIN nation ON s_nationkey = n_nationkey")
