@@ -397,6 +397,14 @@ def more_like_this(spark, sf):
     return out.select(F.col("_id").cast("bigint").alias("doc_id"), F.round("score", 5).alias("score"), "matched")
 
 
+@query()
+def more_like_all(spark, sf):
+    """Of each document all that are like it: every row is a query."""
+    index = text_index(spark, sf)
+    out = similar.more_like(index.post, index.stats, index.docs)
+    return out.select(F.col("source_id").cast("bigint").alias("source_id"), F.col("_id").cast("bigint").alias("doc_id"), F.round("score", 5).alias("score"), "matched")
+
+
 # names and entities
 
 _NAME = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"

@@ -1,5 +1,9 @@
 """Queries that take every row as a source, against brute force on small tables."""
 
+import math
+import re
+from collections import Counter
+
 import pytest
 
 from sparkloom import model
@@ -54,3 +58,28 @@ def test_matches_of_every_part(spark, parts):
     got = {(r.source_id, r._id): r.score for r in QUERIES["match_entity"](spark, at).collect()}
     assert got == pytest.approx(want, abs=1e-3)
     assert len({a for a, _ in got}) >= 6 and ("3", "4") in got and ("1", "2") in got
+
+
+def test_more_like_every_document(spark, tmp_path):
+    base = "harbour cargo manifest northern shipping company contract signed yesterday"
+    texts = [base, base + " again", "cargo shipping report about northern weather", "nothing common whatsoever", "weather report yesterday evening", "tiny", "manifest manifest cargo"]
+    rows = [(i, "s", t, "en", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    tf = [Counter(re.findall(r"\w+", t)) for t in texts]
+    df = Counter(w for c in tf for w in c)
+    n, mean = len(tf), sum(sum(c.values()) for c in tf) / len(tf)
+
+    def bm25(w, j):
+        return math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[j][w] / (tf[j][w] + 1.2 * (0.25 + 0.75 * sum(tf[j].values()) / mean))
+
+    want = {}
+    for i in range(n):
+        weight = {w: c * (1 + math.log(n / (df[w] + 1))) for w, c in tf[i].items() if len(w) >= 5}
+        for j in range(n):
+            both = [w for w in weight if w in tf[j]]
+            if i != j and len(both) >= max(1, math.floor(len(weight) * 0.1)):
+                want[i, j] = (sum(bm25(w, j) * weight[w] for w in both) / max(weight.values()), len(both))
+    got = {(r.source_id, r.doc_id): (r.score, r.matched) for r in QUERIES["more_like_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and len({i for i, _ in got}) >= 5
+    for k, (score, matched) in want.items():
+        assert got[k] == (pytest.approx(score, abs=1e-4), matched)
