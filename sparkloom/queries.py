@@ -434,6 +434,12 @@ def blocking_pairs(spark, sf):
     return matching.blocking_pairs(keys_only).select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
 
 
+@query()
+def blocking_pairs_all(spark, sf):
+    """All pairs that share any key: those of ``blocking_pairs``, and by phonetic codes, symbols and identifiers."""
+    return matching.blocking_pairs(part_docs(spark, sf)).select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
+
+
 @query()
 def match_entity(spark, sf):
     """Of each part all others that match it: every row is a query."""

@@ -60,6 +60,15 @@ def test_matches_of_every_part(spark, parts):
     assert len({a for a, _ in got}) >= 6 and ("3", "4") in got and ("1", "2") in got
 
 
+def test_blocking_by_every_key(spark, parts):
+    at, docs = parts
+    keys = {i: {(f, v) for f in matching.BLOCKING for v in r[f] or []} for i, r in docs.items()}
+    want = {(a, b) for a in docs for b in docs if str(a) < str(b) and keys[a] & keys[b]}
+    rows = [(r.a, r.b) for r in QUERIES["blocking_pairs_all"](spark, at).collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert (1, 2) in want and (1, 2) not in {(r.a, r.b) for r in QUERIES["blocking_pairs"](spark, at).collect()}
+
+
 def test_more_like_every_document(spark, tmp_path):
     base = "harbour cargo manifest northern shipping company contract signed yesterday"
     texts = [base, base + " again", "cargo shipping report about northern weather", "nothing common whatsoever", "weather report yesterday evening", "tiny", "manifest manifest cargo"]
