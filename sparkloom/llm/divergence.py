@@ -27,6 +27,10 @@ COMMON_WORDS = 32
 #: Texts of fewer characters or words aren't judged by the histogram in question.
 MIN_CHARS, MIN_WORDS = 100, 60
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.2, 0.5
+#: Limits by length are this quantile of trusted texts of like length (the binary
+#: logarithm, rounded down). A length of fewer than LEAST_ROWS of them has the limit
+#: of the next shorter; where there is none, the constant above.
+QUANTILE, LEAST_ROWS, LENGTHS = 0.999, 200, 64
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -85,12 +89,33 @@ def references(trusted: DataFrame, words: int = COMMON_WORDS) -> dict[str, tuple
     return out
 
 
+def _at(most: float | np.ndarray, length: np.ndarray) -> float | np.ndarray:
+    """The limit of each length; a number is that of all lengths."""
+    return most[np.log2(np.maximum(length, 1)).astype(np.int64)] if isinstance(most, np.ndarray) else most
+
+
+def length_limits(trusted: DataFrame, refs: dict, quantile: float = QUANTILE, least_rows: int = LEAST_ROWS) -> dict[str, np.ndarray]:
+    """``max_class`` and ``max_word`` of each length, counted over every row (lang,
+    text). A row a length and rule comes back."""
+    scored = judged(trusted.select("lang", F.col("text").cast("string").alias("text")), refs)
+    one = lambda rule, n, d: F.struct(F.lit(rule).alias("rule"), (F.length(F.bin(n)) - 1).alias("length"), F.col(d).alias("d"))
+    each = scored.select(F.explode(F.array(one("max_class", "n_letters__", "class_distance__"), one("max_word", "n_words__", "word_distance__"))).alias("x"))
+    found = each.where("x.d is not null").groupBy("x.rule", "x.length").agg(F.percentile_approx("x.d", quantile, 100_000).alias("q"), F.count("*").alias("n"))
+    known = {(r.rule, r.length): r.q for r in found.collect() if r.n >= least_rows}
+    out = {"max_class": np.full(LENGTHS, MAX_CLASS_DISTANCE), "max_word": np.full(LENGTHS, MAX_WORD_DISTANCE)}
+    for rule, most in out.items():
+        for i in range(LENGTHS):
+            most[i] = known.get((rule, i), most[max(i - 1, 0)])
+    return out
+
+
 def judged(
     df: DataFrame, refs: dict, text: str = "text", lang: str = "lang", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
-    max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
+    max_class: float | np.ndarray = MAX_CLASS_DISTANCE, max_word: float | np.ndarray = MAX_WORD_DISTANCE,
 ) -> DataFrame:
     """All columns of ``df`` and n_letters__, n_words__, class_distance__,
-    word_distance__, keep__; see ``keep``."""
+    word_distance__, keep__; see ``keep``. A limit is one number, or one for each
+    length (``length_limits``)."""
     n = len(CLASSES) + 1
     every = sorted({w for _, words, _ in refs.values() for w in words})
     codes, starts = V.code_points(pa.array(every, pa.string()))
@@ -130,7 +155,7 @@ def judged(
                     p = np.column_stack([p, words[r] - p.sum(1)]) / words[r, None]
                     wd[r] = distance(p, ref_w)
                 cd, wd = np.round(cd, 6), np.round(wd, 6)
-                ok = ~((cd > max_class) | (wd > max_word)) & (chars > 0)
+                ok = ~((cd > _at(max_class, chars)) | (wd > _at(max_word, words))) & (chars > 0)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(chars), pa.array(words), pa.array(cd, from_pandas=True), pa.array(wd, from_pandas=True), pa.array(ok)],
                     names=[*part.schema.names, "n_letters__", "n_words__", "class_distance__", "word_distance__", "keep__"],
@@ -143,12 +168,14 @@ def keep(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
     """The documents that pass, with all their columns.
 
     A document goes if the distance of its character classes, or of its common
-    words, to the reference of its language is above the limit, or if its text is
-    null or empty. A text below the minimum length of a rule passes that rule, as
+    words, to the reference of its language is above the limit of its length (from
+    trusted documents, unless given), or if its text is null or empty. A text below the minimum length of a rule passes that rule, as
     does one of a language without trusted documents. Rows that repeat are judged
     alike; a null language is a language of its own."""
     p = Positional(docs)
-    refs = references(with_trust(docs, labels).where("trusted").select("lang", "text"))
+    trusted = with_trust(docs, labels).where("trusted").select("lang", "text")
+    refs = references(trusted)
+    limits = length_limits(trusted, refs) | limits
     out = judged(p.df.withColumn(p.at("text"), F.col(p.at("text")).cast("string")), refs, p.at("text"), p.at("lang"), **limits)
     return p.restore(out.where("keep__"))
 
@@ -164,6 +191,17 @@ def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op2_quality_divergence`` with the limits of each length."""
+    docs = table(spark, sf_dir, "documents")
+    trusted = with_trust(docs, table(spark, sf_dir, "labels")).where("trusted").select("lang", "text")
+    refs = references(trusted)
+    return judged(pick(docs, "doc_id", "lang", "text"), refs, **length_limits(trusted, refs)).where("keep__").select(
+        "doc_id", "lang", F.col("n_letters__").alias("n_chars"), F.col("n_words__").alias("n_words"),
+        F.col("class_distance__").alias("class_distance"), F.col("word_distance__").alias("word_distance"),
+    )
+
+
 def oracle_sql() -> str:
     only = lambda c: f"len(regexp_replace(text, '[^{c}]', '', 'g'))"
     k = [only(r"\p{Ll}"), only(r"\p{Lu}"), f"{only(r'\p{L}\p{M}')} - {only(r'\p{Ll}\p{Lu}')}", *(only(rf"\p{{{c}}}") for c in "NPS"), only(r"\p{Z}\p{Cc}")]

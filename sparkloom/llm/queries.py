@@ -11,6 +11,7 @@ from . import divergence, hilbert, kneser, langid, mixing, neardup, pieces, sket
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_quality_divergence": divergence.op2_quality_divergence,
+    "op2_quality_by_length": divergence.op2_quality_by_length,
     "op3_document_fingerprints": sketch.op3_document_fingerprints,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_quality_classifier": kneser.op5_quality_classifier,
