@@ -15,9 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import pick, table
+from .common import cut, pick, table
 
 WIDTH, SCALE = 5, 16
+#: A text whose sketch has fewer hashes than TINY is looked up by all its shingles.
+#: Up to SENT of their hashes are sent to the executors; more are joined.
+TINY, SENT = 8, 4_000_000
+
+
+def _distinct(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 63-bit hashes of each text, in order, and the row of each."""
+    hashes, starts = V.shingles_of(part.column("text"), width)
+    of = np.repeat(np.arange(part.num_rows), np.diff(starts))
+    order = np.lexsort((hashes, of))
+    hashes, of = (hashes[order] >> V.U64(1)).astype(np.int64), of[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+    return hashes[new], of[new]
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, scale: int = SCALE) -> DataFrame:
@@ -35,14 +49,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in V.slices(batch, "text"):
-                hashes, starts = V.shingles_of(part.column("text"), width)
-                of = np.repeat(np.arange(part.num_rows), np.diff(starts))
-                order = np.lexsort((hashes, of))
-                hashes, of = (hashes[order] >> V.U64(1)).astype(np.int64), of[order]
-                new = np.ones(len(of), bool)
-                new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
-                count = np.bincount(of[new], minlength=part.num_rows).astype(np.int64)
-                new &= hashes < limit
+                hashes, of = _distinct(part, width)
+                count = np.bincount(of, minlength=part.num_rows).astype(np.int64)
+                new = hashes < limit
                 offsets = np.zeros(part.num_rows + 1, np.int32)
                 np.cumsum(np.bincount(of[new], minlength=part.num_rows), out=offsets[1:])
                 made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[new]))
@@ -74,5 +83,52 @@ def containment(a: DataFrame, b: DataFrame, id_col: str = "doc_id") -> DataFrame
     )
 
 
+def all_containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, scale: int = SCALE, tiny: int = TINY, sent: int = SENT) -> DataFrame:
+    """(a_id, b_id, shared, in_b, exact) of all documents with all others, as
+    ``containment``; ids are taken to be unique. Where a's sketch has fewer than
+    ``tiny`` hashes, an empty one too, all shingles of a are looked up in all of b,
+    so that the share is exact. No pair with a common hash is left out."""
+    rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
+    kind, limit = rows.schema["doc_id"].dataType.simpleString(), (1 << 63) // scale
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in V.slices(batch, "text"):
+                hashes, of = _distinct(part, width)
+                few = (np.bincount(of[hashes < limit], minlength=part.num_rows) < tiny)[of]
+                n = np.bincount(of, minlength=part.num_rows)[of[few]]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of[few])), pa.array(n), pa.array(hashes[few])], names=["a_id", "n", "h"])
+
+    left = cut(rows.mapInArrow(short, f"a_id {kind}, n long, h long"), "tiny")
+    wanted = left.select("h").distinct()
+    known = None
+    if left.limit(sent + 1).count() <= sent:
+        known = rows.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column("h").to_numpy()))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in V.slices(batch, "text"):
+                hashes, of = _distinct(part, width)
+                if known is not None:
+                    at = np.searchsorted(known.value, hashes)
+                    hit = np.append(known.value, -1)[at] == hashes
+                    hashes, of = hashes[hit], of[hit]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), pa.array(hashes)], names=["b_id", "h"])
+
+    right = rows.mapInArrow(found, f"b_id {kind}, h long")
+    sketched = cut(sketches(rows, width=width, scale=scale), "sketches")
+
+    def shares(a: DataFrame, b: DataFrame, exact: bool) -> DataFrame:
+        met = a.join(b, "h").where("a_id <> b_id").groupBy("a_id", "b_id")
+        return met.agg(F.count("*").alias("shared"), (F.count("*") / F.first("n")).alias("in_b"), F.lit(exact).alias("exact"))
+
+    large = sketched.where(F.size("sketch") >= tiny).select(F.col("doc_id").alias("a_id"), F.size("sketch").cast("long").alias("n"), F.explode("sketch").alias("h"))
+    return shares(left, right, True).union(shares(large, sketched.select(F.col("doc_id").alias("b_id"), F.explode("sketch").alias("h")), False))
+
+
+def op3_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_containment(table(spark, sf_dir, "documents"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches(table(spark, sf_dir, "documents"))

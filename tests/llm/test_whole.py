@@ -2,7 +2,9 @@
 
 import random
 
-from sparkloom.llm import divergence
+import pytest
+
+from sparkloom.llm import divergence, sketch
 
 
 def test_word_limits_by_length(spark, tmp_path):
@@ -24,3 +26,26 @@ def test_word_limits_by_length(spark, tmp_path):
     before = {r.doc_id for r in divergence.op2_quality_divergence(spark, str(tmp_path)).collect()}
     after = {r.doc_id for r in divergence.op2_quality_by_length(spark, str(tmp_path)).collect()}
     assert 1000 in before and 1000 not in after and 1001 in after and len(after - {1001}) >= 438
+
+
+def test_containment_of_short_and_long_texts(spark, tmp_path):
+    rnd = random.Random(6)
+    words = ["w" + str(rnd.random())[2:] for _ in range(3000)]
+    spans = [(i * 40, i * 40 + 7 + i) for i in range(20)] + [(0, 3000), (1000, 2500), (5, 5)]  # the first twenty are short passages
+    texts = [words[a:b] for a, b in spans] + [words[40:48], ["lonely", "words"]]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    shingles = [{tuple(t[i : i + sketch.WIDTH]) for i in range(max(1, len(t) - sketch.WIDTH + 1))} if t else set() for t in texts]
+    want = {(a, b): len(shingles[a] & shingles[b]) for a in range(len(texts)) for b in range(len(texts)) if a != b and shingles[a] & shingles[b]}
+    for sent in (sketch.SENT, 0):  # by hashes sent to the executors, and by a join
+        rows = sketch.all_containment(spark.read.parquet(f"{tmp_path}/documents.parquet"), sent=sent).collect()
+        exact = {(r.a_id, r.b_id): (r.shared, r.in_b) for r in rows if r.exact}
+        assert exact == {k: (n, pytest.approx(n / len(shingles[k[0]]))) for k, n in want.items() if k[0] not in (20, 21)}
+        rest = {(r.a_id, r.b_id): r.in_b for r in rows if not r.exact}
+        assert rest[21, 20] == 1.0 and abs(rest[20, 21] - 0.5) < 0.15
+    assert {(i, 20) for i in range(20)} <= exact.keys()
+
+
+def test_containment_is_a_query():
+    from sparkloom.llm.queries import QUERIES
+
+    assert QUERIES["op3_containment"] is sketch.op3_containment
