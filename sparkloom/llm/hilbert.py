@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Positional, table
+from .common import Positional, cut, table
 
 DIMENSIONS, BITS, SHARD_BYTES = ("source", "lang", "n_chars"), 6, 64 << 20
+#: Of files that a reader with selective filters likes better.
+FINE_BYTES = 1 << 16
 
 
 def curve_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -49,11 +51,17 @@ def curve_index(points: np.ndarray, bits: int) -> np.ndarray:
 
 def _rank(df: DataFrame, column: str, bits: int) -> Column:
     """floor(2^bits * rows of smaller value / rows), null being the least value.
-    The sort is over distinct values; at most 2^bits bounds come to the driver."""
+    Distinct values are sorted by ranges, each range by a task of its own; the
+    running sum is over the ranges first, then inside each. At most 2^bits bounds
+    come to the driver."""
     per = df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(W.partitionBy())
-    ranked = per.select("v", F.floor((F.lit(1 << bits) * before) / total).cast("int").alias("q"))
+    per = cut(per.repartitionByRange(F.col("v").asc_nulls_first()).withColumn("range", F.spark_partition_id()), "values")
+    ranges = per.groupBy("range").agg(F.sum("n").alias("in_range"))  # a row a partition
+    upto = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select("range", F.coalesce(F.sum("in_range").over(upto), F.lit(0)).alias("start"), F.sum("in_range").over(W.partitionBy()).alias("total"))
+    inside = W.partitionBy("range").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    ranked = per.join(F.broadcast(ranges), "range").select("v", F.floor((F.lit(1 << bits) * before) / F.col("total")).cast("int").alias("q"))
     bounds = sorted(((r.v, r.q) for r in ranked.groupBy("q").agg(F.min("v").alias("v")).collect() if r.v is not None), key=lambda r: r[1])
     if not bounds:
         return F.lit(0)
@@ -92,7 +100,7 @@ def shards(
         cells[[*ranks, "h", "start", "bytes"]].astype("int64"), ", ".join(f"{c} bigint" for c in [*ranks, "h", "start", "bytes"])
     )
     whole = F.col("bytes") <= shard_bytes
-    inside = F.when(whole, 0).otherwise(F.floor(F.col("bytes") * _piece(p.at(id_col)) / (1 << 32)))
+    inside = F.when(whole, 0).otherwise(F.floor(F.col("bytes").cast("double") * _piece(p.at(id_col)) / float(1 << 32)))
     placed = (
         df.join(F.broadcast(where), ranks)  # at most 2^(bits * dimensions) rows
         .withColumn("shard__", F.floor((F.col("start") + inside) / shard_bytes).cast("int"))
@@ -124,6 +132,16 @@ def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
 
+def op9_hilbert_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What shards of ``FINE_BYTES`` hold: rows, and the ends of each dimension."""
+    return manifest(shards(table(spark, sf_dir, "documents"), shard_bytes=FINE_BYTES))
+
+
+def manifest_sql() -> str:
+    ends = ", ".join(f"min({d}) AS min_{d}, max({d}) AS max_{d}" for d in DIMENSIONS)
+    return f"SELECT shard, count(*) AS n_rows, {ends} FROM ({oracle_sql(shard_bytes=FINE_BYTES)}) GROUP BY 1"
+
+
 def oracle_sql(bits: int = BITS, shard_bytes: int = SHARD_BYTES) -> str:
     """The curve, step by step, each step a subquery over the cells."""
     rank = lambda d: (
@@ -155,6 +173,6 @@ def oracle_sql(bits: int = BITS, shard_bytes: int = SHARD_BYTES) -> str:
     curve AS (SELECT q0, q1, q2, bytes, {" + ".join(digits)} AS h FROM ({step})),
     cut AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM curve)
     SELECT doc_id, text, lang, source, n_chars, h AS curve_index,
-      floor((start + CASE WHEN bytes <= {shard_bytes} THEN 0 ELSE floor(bytes * ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296) END) / {shard_bytes})::INTEGER AS shard
+      floor((start + CASE WHEN bytes <= {shard_bytes} THEN 0 ELSE floor(bytes::DOUBLE * ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296) END) / {shard_bytes})::INTEGER AS shard
     FROM d JOIN cut USING (q0, q1, q2)
     """
