@@ -8,7 +8,7 @@ with the table, one record costs one frame.
 
 from __future__ import annotations
 
-import os
+import base64
 import struct
 import uuid
 from collections.abc import Iterator
@@ -34,11 +34,13 @@ BUNDLES = (
 def record(record_id: str, page_id: int | None, url: str | None, html: str | None, date: str = DATE) -> bytes:
     """One resource record. A null url or page has no header line; a null html
     is an empty body with ``WARC-Truncated: unspecified``. Line ends in a url
-    are written as %0D and %0A."""
+    are written as %0D and %0A, and such a url once more in base 64."""
     body = (html or "").encode()
     lines = ["WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: <urn:uuid:{record_id}>", f"WARC-Date: {date}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        if "\r" in url or "\n" in url:
+            lines.append("X-Url: " + base64.b64encode(url.encode()).decode())
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     if html is None:
@@ -56,7 +58,7 @@ def parse(raw: bytes) -> tuple[str, int | None, str | None, str | None]:
     return (
         fields["WARC-Record-ID"][10:-1],
         None if page is None else int(page),
-        fields.get("WARC-Target-URI"),
+        base64.b64decode(fields["X-Url"]).decode() if "X-Url" in fields else fields.get("WARC-Target-URI"),
         None if "WARC-Truncated" in fields else body,
     )
 
@@ -71,7 +73,8 @@ class Bundle:
         self.records: list[dict] = []
 
     def add(self, page_id: int | None, url: str | None, html: str | None) -> None:
-        name = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{self.name}/{len(self.records)}/{page_id}"))
+        digest = xxhash.xxh3_128_hexdigest(f"{url!r}\n{html!r}".encode("utf-8", "surrogatepass"))
+        name = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{self.name}/{len(self.records)}/{page_id}/{digest}"))
         raw = record(name, page_id, url, html)
         if self.open and len(self.open) + len(raw) > self.frame_bytes:
             self.flush()
@@ -119,13 +122,16 @@ def read(data: bytes, frame: int, offset: int, length: int) -> bytes:
 
 def bundles(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL,
+    frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL, run_id: str | None = None,
 ) -> DataFrame:
     """(bundle, n_records, n_frames, data, records): whole bundle files, and where
     each record lies: its frame, and offset and length in the unpacked frame.
 
-    Each task packs the rows it reads, so nothing is shuffled; names come from the
-    task's number, so a task that runs again writes the same. A record larger than
+    Each task packs the rows it reads, so nothing is shuffled. Names of bundles come
+    from ``run_id`` (drawn once for the table, unless given) and the task's number, so
+    a task that runs again writes the same and another run's bundles have other
+    names; record ids come from the bundle, the place in it, url and content. A
+    bundle must fit a binary value of Spark (2 GiB). A record larger than
     a frame has a frame of its own, one larger than a bundle ends its bundle.
     Every row gets a record, whatever is null (see ``record``) and however often
     it repeats; a task without rows makes no bundle. Other columns are left out."""
@@ -135,16 +141,18 @@ def bundles(
          ("records", pa.list_(pa.struct([("record_id", pa.string()), ("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])))]
     )
 
+    prefix = run_id or uuid.uuid4().hex[:16]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
-        now = Bundle(f"{task:06d}-{n:06d}", frame_bytes, level)
+        now = Bundle(f"{prefix}-{task:06d}-{n:06d}", frame_bytes, level)
         for batch in batches:
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns)):
                 now.add(page_id, url, html)
                 if now.size >= bundle_bytes:
                     yield pa.RecordBatch.from_pylist([now.close()], schema)
                     n += 1
-                    now = Bundle(f"{task:06d}-{n:06d}", frame_bytes, level)
+                    now = Bundle(f"{prefix}-{task:06d}-{n:06d}", frame_bytes, level)
         if now.records:
             yield pa.RecordBatch.from_pylist([now.close()], schema)
 
@@ -172,17 +180,22 @@ def unpack(packed: DataFrame) -> DataFrame:
 
 
 def save(packed: DataFrame, folder: str) -> None:
-    """Bundles as files ``<bundle>.warc.zst`` of a folder that all executors share.
-    Each is written under another name and renamed, so a task that is lost or runs
-    twice leaves whole files only."""
+    """Bundles as files ``<bundle>.warc.zst`` of a folder that all executors share: a
+    path, or a URI of a file system that Arrow knows (file, hdfs, s3, gs). Each is
+    written under another name and renamed, so a task that is lost or runs twice
+    leaves whole files only."""
+    uri = folder.rstrip("/")
 
     def put(rows: Iterator) -> None:
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+        store.create_dir(base, recursive=True)
         for row in rows:
-            part = f"{folder}/.{row.bundle}.{uuid.uuid4().hex}"
-            with open(part, "wb") as f:
+            part = f"{base}/.{row.bundle}.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
                 f.write(row.data)
-            os.replace(part, f"{folder}/{row.bundle}.warc.zst")
+            store.move(part, f"{base}/{row.bundle}.warc.zst")
 
     packed.select("bundle", "data").foreachPartition(put)
 
