@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Positional:
@@ -46,10 +47,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; only where
-    that is unset (tests on one machine) a folder below the warehouse."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where that is
+    unset, a session on one machine has a folder below the warehouse; on a cluster
+    it is an error, as executors would write to disks of their own."""
     at = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return at.rstrip("/")
 
@@ -90,6 +94,11 @@ def _sweep() -> None:
             return
 
 
+def widened(df: DataFrame, **more: str) -> T.StructType:
+    """The schema of ``df`` with more columns (name=type), whatever its names and types."""
+    return T.StructType([*df.schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in more.items())])
+
+
 def row_keys(columns: list[str]) -> list[Column]:
     """Two 64-bit hashes over all columns; nulls count as values of their own.
     Rows that agree in both are copies of one row."""

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import Positional, pick, table
+from .common import Positional, cut, pick, table, widened
 from .trust import with_trust
 
 #: Prefixes of Unicode general categories; what is left is a class of its own.
@@ -71,10 +71,11 @@ def references(trusted: DataFrame, words: int = COMMON_WORDS) -> dict[str, tuple
     named = trusted.select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
     classes = named.mapInArrow(count, "lang string, " + ", ".join(f"k{i} long" for i in range(n)))
     classes = classes.groupBy("lang").agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(n)]).collect()
-    seen = (
+    seen = cut(  # read twice
         named.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
         .groupBy("lang", "word")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n")),
+        "words",
     )
     top = seen.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= words)
     top = top.orderBy("lang", "k").collect()
@@ -123,7 +124,6 @@ def judged(
     order = np.argsort(hashes)
     table_, place = hashes[order], {every[i]: k for k, i in enumerate(order)}
     made = {k: (c, np.array([place[w] for w in words]), s) for k, (c, words, s) in refs.items()}
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +161,7 @@ def judged(
                     names=[*part.schema.names, "n_letters__", "n_words__", "class_distance__", "word_distance__", "keep__"],
                 )
 
-    return df.mapInArrow(run, f"{fields}, n_letters__ long, n_words__ long, class_distance__ double, word_distance__ double, keep__ boolean")
+    return df.mapInArrow(run, widened(df, n_letters__="long", n_words__="long", class_distance__="double", word_distance__="double", keep__="boolean"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:

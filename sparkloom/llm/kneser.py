@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import Positional, cut, drop_cut, pick, row_keys, table
+from .common import Positional, cut, drop_cut, pick, row_keys, table, widened
 from .trust import with_trust
 
 ORDER = 5
@@ -234,7 +234,6 @@ def scored(df: DataFrame, model: DataFrame, text: str, lang: str, sent: int = SE
     t = keyed(model).toArrow()
     arrays = [t.column(c).to_numpy() for c in ("key", "p", "g")]
     table_ = df.sparkSession.sparkContext.broadcast((Lookup(*arrays), langs))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look, langs = table_.value
@@ -251,7 +250,7 @@ def scored(df: DataFrame, model: DataFrame, text: str, lang: str, sent: int = SE
                     [*part.columns, pa.array(n), pa.array(nll, mask=~known)], names=[*part.schema.names, "n__", "nll__"]
                 )
 
-    return df.mapInArrow(run, f"{fields}, n__ long, nll__ double")
+    return df.mapInArrow(run, widened(df, n__="long", nll__="double"))
 
 
 def _scored_by_join(df: DataFrame, model: DataFrame, text: str, lang: str) -> DataFrame:

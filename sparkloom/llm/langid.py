@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import Positional, pick, table
+from .common import Positional, pick, table, widened
 from .trust import with_trust
 
 DIMS, CENTROIDS, ROUNDS = 8192, 3, 12
@@ -190,7 +190,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, k: i
 def judged(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``df``, language__ (null if rejected), distance__."""
     sent = df.sparkSession.sparkContext.broadcast(model)  # DIMS floats a centroid
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, centroids, names, limits = sent.value
@@ -211,7 +210,7 @@ def judged(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     names=[*part.schema.names, "language__", "distance__"],
                 )
 
-    return df.mapInArrow(run, f"{fields}, language__ string, distance__ double")
+    return df.mapInArrow(run, widened(df, language__="string", distance__="double"))
 
 
 def identify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:

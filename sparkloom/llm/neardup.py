@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import Positional, cut, pick, row_keys, table
+from .common import Positional, cut, pick, row_keys, table, widened
 from .graph import components
 
 WIDTH, COORDINATES, MIN_MATCHES = 3, 64, 28
@@ -64,7 +64,7 @@ def signatures(df: DataFrame, width: int = WIDTH, k: int = COORDINATES) -> DataF
     """Adds ``sig`` (k unsigned 32-bit numbers, little-endian) to a table with a
     ``text`` and takes the text away. Texts without a word get null."""
     rest = [f for f in df.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "sig binary"])
+    schema = widened(df.drop("text"), sig="binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

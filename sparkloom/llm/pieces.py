@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import Positional, pick, table
+from .common import Positional, pick, table, widened
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
@@ -428,7 +428,6 @@ def _sent(spark: SparkSession, path: str) -> tuple[str, object]:
 def with_ids(df: DataFrame, text: str, path: str = MODEL) -> DataFrame:
     """All columns of ``df``, and ids__ of the text."""
     name, machine = _sent(df.sparkSession, path)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(name, machine.value)
@@ -439,13 +438,12 @@ def with_ids(df: DataFrame, text: str, path: str = MODEL) -> DataFrame:
                 made = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids, pa.int32()), mask=missing)
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, "ids__"])
 
-    return df.mapInArrow(run, f"{fields}, ids__ array<int>")
+    return df.mapInArrow(run, widened(df, ids__="array<int>"))
 
 
 def with_ids_and_text(df: DataFrame, text: str, path: str = MODEL) -> DataFrame:
     """The same with what the ids decode to, text__, in one pass through Python."""
     name, machine = _sent(df.sparkSession, path)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(name, machine.value)
@@ -457,13 +455,12 @@ def with_ids_and_text(df: DataFrame, text: str, path: str = MODEL) -> DataFrame:
                 back = pa.array(encoder.decode(ids, starts), pa.string(), mask=missing.to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([*part.columns, made, back], names=[*part.schema.names, "ids__", "text__"])
 
-    return df.mapInArrow(run, f"{fields}, ids__ array<int>, text__ string")
+    return df.mapInArrow(run, widened(df, ids__="array<int>", text__="string"))
 
 
 def with_text(df: DataFrame, ids: str, path: str = MODEL) -> DataFrame:
     """All columns of ``df``, and text__ of the ids."""
     name, machine = _sent(df.sparkSession, path)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(name, machine.value)
@@ -476,7 +473,7 @@ def with_text(df: DataFrame, ids: str, path: str = MODEL) -> DataFrame:
             made = pa.array(text, pa.string(), mask=pc.is_null(column).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "text__"])
 
-    return df.mapInArrow(run, f"{fields}, text__ string")
+    return df.mapInArrow(run, widened(df, text__="string"))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:

@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
     "op8_url_filters": urlfilter.op8_url_filters,
     "op9_hilbert_sharding": hilbert.op9_hilbert_sharding,
+    "op9_hilbert_manifest": hilbert.op9_hilbert_manifest,
     "op10_language_id": langid.op10_language_id,
 }
 
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_divergence": divergence.oracle_sql(),
     "op8_url_filters": urlfilter.oracle_sql(),
     "op9_hilbert_sharding": hilbert.oracle_sql(),
+    "op9_hilbert_manifest": hilbert.manifest_sql(),
 }

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import cut, pick, table
+from .common import cut, pick, table, widened
 
 WIDTH, SCALE = 5, 16
 #: A text whose sketch has fewer hashes than TINY is looked up by all its shingles.
@@ -43,7 +43,6 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     fewer than ``width`` words has one shingle of all of them. A repeated shingle
     counts once. Other columns are left out, whatever their names."""
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
     limit = (1 << 63) // scale
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +58,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                     [part.column("doc_id"), pa.array(count), made], names=["doc_id", "n_shingles", "sketch"]
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, sketch array<long>")
+    return rows.mapInArrow(run, widened(rows.drop("text"), n_shingles="long", sketch="array<long>"))
 
 
 def merged(sketched: DataFrame, by: str) -> DataFrame:

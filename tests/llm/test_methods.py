@@ -234,6 +234,18 @@ def test_record_from_its_frame_only(spark, sf_dir):
         warc.read(bytes(damaged), 0, 0, 10)
 
 
+def test_records_of_different_pages_have_different_ids(spark, tmp_path):
+    ids = set()
+    for url in ("http://a/1", "http://b/9"):
+        packed = warc.bundles(spark.createDataFrame([(1, url, "x"), (1, url, "x")], "page_id long, url string, html string").coalesce(1))
+        ids |= {(r.bundle, x.record_id) for r in packed.collect() for x in r.records}
+        warc.save(packed, str(tmp_path))
+        warc.save(packed, f"file://{tmp_path}")
+    assert len({i for _, i in ids}) == 4 and len(list(tmp_path.glob("*.warc.zst"))) == 2
+    odd = "http://a/\r\nb%0D"
+    assert warc.parse(warc.record("0" * 36, 1, odd, "x"))[2] == odd
+
+
 # URLs
 
 
@@ -255,8 +267,11 @@ def test_trie_is_the_longest_cover(spark):
                 best = max(best or (-1,), (len(h), len(p), v == "allow", v))
         return best[3] if best else "none"
 
+    label = lambda: rnd.choice(["", "a", "b", "c", "com", "org", "d", "A"])
+    urls += [f"http://{'.'.join(label() for _ in range(rnd.randint(1, 5)))}/{'/'.join(rnd.choice(['', 'x', 'y', 'z', 'q']) for _ in range(rnd.randint(0, 4)))}" for _ in range(2000)]
+    urls += ["http://x..a.com/", "http://..a.com", "http://a.com..", "http://u@v@a.com:80/x", "http://a.com\u2028@b.a.com/x"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    for most in (1000, 0):  # as a trie, and by joins
+    for most in (1 << 20, 0):  # as a trie, and by joins
         got = {r.page_id: r.verdict for r in urlfilter.classify(pages, entries, most=most).collect()}
         assert got == {i: brute(u) for i, u in enumerate(urls)}
 
@@ -272,6 +287,20 @@ def test_curve_visits_neighbours():
         assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
 
 
+def test_cells_of_many_bytes(spark):
+    """Sizes and pieces are multiplied as doubles: a cell of 2 GiB or more isn't an overflow."""
+    df = spark.createDataFrame([(3 << 30, 4294967295)], "bytes long, p long")
+    assert df.select(F.floor(F.col("bytes").cast("double") * F.col("p") / float(1 << 32))).first()[0] == (3 << 30) - 1
+
+
+def test_ranks_by_ranges(spark):
+    rows = spark.createDataFrame([(None if i % 11 == 0 else (i * 7919) % 500,) for i in range(3000)], "v long")
+    values = sorted((r.v for r in rows.collect()), key=lambda v: (v is not None, v))
+    want = {v: 64 * values.index(v) // len(values) for v in set(values)}
+    got = rows.select("v", hilbert._rank(rows, "v", 6).alias("q")).distinct().collect()
+    assert {r.v: r.q for r in got} == want
+
+
 def test_shards_prune(spark, sf_dir):
     out = hilbert.shards(table(spark, sf_dir, "documents"), shard_bytes=20_000).cache()
     ends = hilbert.manifest(out)
