@@ -11,10 +11,14 @@ Candidates come from the posting lists without a cap:
   than ``min_matches`` pairs left can't match at all (exact);
 * prefix merging: with c pairs left, in order of list length, two nodes that
   match share one among the first c - min_matches + 1 of each (exact);
-* skip merging: a list is first compared with its least node only. Members that
-  match it are connected by that; only pairs with a member that doesn't are
-  compared further. Connected components are those of all matching pairs, but
-  a list of n copies costs n comparisons.
+* skip merging: members of a list are compared with its least node, and if that
+  doesn't connect them all, with a few more; what is connected already isn't
+  compared again. A list of n copies costs n comparisons;
+* what is left of a short list is compared pair by pair. A long one is divided by
+  the next pair its members share, with the same prefix rule over what is left
+  (two that match share ``min_matches`` pairs, so also one of the next few),
+  until its parts are short or connected. So no long list is compared all with
+  all, and none is capped (exact).
 """
 
 from __future__ import annotations
@@ -28,10 +32,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import Positional, cut, pick, row_keys, table, widened
+from .common import Positional, cut, drop_cut, pick, row_keys, table, widened
 from .graph import components
 
 WIDTH, COORDINATES, MIN_MATCHES = 3, 64, 28
+#: Lists of up to so many nodes are compared pair by pair where they must be.
+SMALL = 64
+#: With so many nodes a list is compared if its least one doesn't connect it.
+PROBES = 4
 
 
 def multipliers(k: int) -> list[tuple[int, int]]:
@@ -120,38 +128,71 @@ def _matching(pairs: DataFrame, nodes: DataFrame, k: int, least: int) -> DataFra
     )
 
 
-def matching_edges(nodes: DataFrame, k: int = COORDINATES, least: int = MIN_MATCHES) -> DataFrame:
-    """Verified edges (a, b, matches), a < b, among nodes (node, sig) of distinct
-    signature: enough of them that their components are those of all pairs."""
-    per_list, per_node = W.partitionBy("key"), W.partitionBy("node")
-    posted = (
-        _postings(nodes, k)
-        .withColumn("n", F.count("*").over(per_list))
-        .where("n > 1")
+def _ordered(nodes: DataFrame, k: int, least: int) -> DataFrame:
+    """(node, key, rank, c): of each node its c pairs that other nodes have too, rare
+    ones first; nodes of fewer than ``least`` can't match. Lengths of lists are partial
+    sums, joined, so that a hot list is never in one task."""
+    posted = _postings(nodes, k)
+    shared = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    per_node = W.partitionBy("node")  # at most k rows
+    return (
+        posted.join(shared, "key")
         .withColumn("c", F.count("*").over(per_node))
         .where(F.col("c") >= least)
         .withColumn("rank", F.row_number().over(per_node.orderBy("n", "key")))
-        .where(F.col("rank") <= F.col("c") - least + 1)
-        .select("node", "key")
-    )
-    lists = cut(
-        posted.withColumn("hub", F.min("node").over(per_list)).withColumn("n", F.count("*").over(per_list)).where("n > 1").drop("n"),
-        "lists",
+        .select("node", "key", "rank", "c")
     )
-    stars = lists.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    near = cut(_matching(stars, nodes, k, least), "stars")
-    apart = (
-        lists.where("node <> hub")
-        .join(near.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti")
-        .select("key", F.col("node").alias("u"))
-    )
-    others = (
-        apart.join(lists.where("node <> hub").select("key", "node"), "key")
-        .where("u <> node")
-        .select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b"))
-        .distinct()
-    )
-    return near.union(_matching(others, nodes, k, least))
+
+
+def _open(lists: DataFrame, roots: DataFrame | None, **more: Column) -> DataFrame:
+    """(list, node, rank, c, root, n, more...): the lists whose members aren't all
+    connected yet, with each member's component; ``more`` are aggregates of a list."""
+    rooted = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per = rooted.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), *[c.alias(k) for k, c in more.items()])
+    return rooted.join(per.where("a <> b").drop("a", "b"), "list")
+
+
+def _starred(lists: DataFrame, roots: DataFrame | None, nodes: DataFrame, k: int, least: int, *order: Column) -> tuple[DataFrame, DataFrame]:
+    """Compares each list's members with its least one in each of the orders. The
+    lists that were open, and the components (node, root) there are now."""
+    hubs = F.array_distinct(F.array(*[F.min_by(F.struct("node", "root"), o) for o in order]))
+    held = cut(_open(lists, roots, hubs=hubs), "lists")
+    stars = held.select("node", "root", F.explode("hubs").alias("h")).where("h.root <> root")
+    near = _matching(stars.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), nodes, k, least)
+    return held.select("list", "node", "rank", "c"), _joined(near, roots)
+
+
+def _joined(near: DataFrame, roots: DataFrame | None) -> DataFrame:
+    edges = near.select("a", "b")
+    return components(edges if roots is None else edges.union(roots.select("node", "root")))
+
+
+def matched_components(nodes: DataFrame, k: int = COORDINATES, least: int = MIN_MATCHES, small: int = SMALL) -> DataFrame:
+    """(node, root) of the nodes (node, sig), of distinct signature, that match
+    another one: the connected components of all matching pairs."""
+    ordered = cut(_ordered(nodes, k, least), "ordered")
+    lists, roots = ordered.where(F.col("rank") <= F.col("c") - least + 1).select(F.col("key").alias("list"), "node", "rank", "c"), None
+    for depth in range(1, k + 1):
+        lists, roots = _starred(lists, roots, nodes, k, least, F.col("node"))
+        left = cut(_open(lists, roots), "open")
+        if left.isEmpty():
+            return roots
+        others = [F.xxhash64("list", "node", F.lit(i)) for i in range(PROBES)]
+        lists, roots = _starred(left.select("list", "node", "rank", "c"), roots, nodes, k, least, *others)
+        drop_cut(left)
+        left = cut(_open(lists, roots), "open")
+        few, many = left.where(F.col("n") <= small), left.where(F.col("n") > small)
+        if not few.isEmpty():
+            pairs = few.select("list", F.col("node").alias("a"), F.col("root").alias("r")).join(few.select("list", F.col("node").alias("b"), "root"), "list")
+            roots = _joined(_matching(pairs.where("a < b and r <> root").select("a", "b").distinct(), nodes, k, least), roots)
+        if many.isEmpty():
+            return roots
+        #: Who matches shares least - depth more pairs beyond the last one, and so one of the first of them.
+        further = many.select("list", "node", F.col("rank").alias("upto"), "c").join(ordered.drop("c"), "node")
+        lists = further.where((F.col("rank") > F.col("upto")) & (F.col("rank") <= F.col("c") - least + depth + 1)).select(
+            F.xxhash64("list", "key").alias("list"), "node", "rank", "c"
+        )
+    return roots
 
 
 def grouped(rows: DataFrame, width: int = WIDTH, k: int = COORDINATES, least: int = MIN_MATCHES) -> DataFrame:
@@ -161,7 +202,7 @@ def grouped(rows: DataFrame, width: int = WIDTH, k: int = COORDINATES, least: in
         signatures(rows, width, k).where("sig is not null").withColumn("node", F.xxhash64("sig")), "signed"
     )
     nodes = cut(signed.groupBy("node").agg(F.first("sig").alias("sig")), "nodes")
-    label = components(matching_edges(nodes, k, least).select("a", "b"))
+    label = matched_components(nodes, k, least)
     return (
         signed.drop("sig")
         .join(label, "node", "left")

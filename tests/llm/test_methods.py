@@ -73,6 +73,45 @@ def test_hub_of_copies(spark):
     assert len(got) >= 3000 - 7
 
 
+def test_pages_of_shared_parts_cost_as_many_comparisons_as_pages(spark, monkeypatch):
+    """Headers and footers that many share, texts of their own between: long lists, few matches."""
+    compared, plain = [], neardup._matching
+
+    def counting(pairs, nodes, k, least):
+        compared.append(pairs.count())
+        return plain(pairs, nodes, k, least)
+
+    monkeypatch.setattr(neardup, "_matching", counting)
+    per = {}
+    for own, n in ((90, 300), (90, 1200)):
+        rnd = random.Random(8)
+        word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+        run = lambda m: " ".join(word() for _ in range(m))
+        heads, feet = [run(40) for _ in range(4)], [run(40) for _ in range(4)]
+        rows = [(i, f"{heads[i % 4]} {run(own)} {feet[i // 4 % 4]}") for i in range(n)]
+        nodes = neardup.signatures(spark.createDataFrame(rows, "doc_id long, text string")).select(F.xxhash64("sig").alias("node"), "sig")
+        compared.clear()
+        got = {r.node: r.root for r in neardup.matched_components(nodes).collect()}
+        per[own, n] = sum(compared) / n
+        sig = {r.node: np.frombuffer(r.sig, np.uint32) for r in nodes.collect()}
+        ids = sorted(sig)
+        m = np.stack([sig[i] for i in ids])
+        parent = {i: i for i in ids}
+
+        def root(i, parent=parent):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i in range(len(ids)):
+            for j in np.flatnonzero((m[i] == m[i + 1 :]).sum(1) >= neardup.MIN_MATCHES) + i + 1:
+                x, y = root(ids[i]), root(ids[j])
+                parent[max(x, y)] = min(x, y)
+        want = {i: root(i) for i in ids}
+        assert {i: got.get(i, i) for i in ids} == want
+    assert per[90, 1200] < 2 * per[90, 300] + 20, per
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (5, 5), (11, 10), (4, 1)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
