@@ -152,6 +152,8 @@ def test_pieces_are_those_of_the_library(sf_dir):
     vocabulary = [sp.id_to_piece(i).replace("▁", " ") for i in range(259, 32000)]
     texts = pq.read_table(f"{sf_dir}/documents.parquet").column("text").to_pylist()
     texts += ["", " ", "   a  b\n\n\tc", "é🙂日本 ▁x", "aaaa" * 60, "\x00\x01", "abab" * 500]
+    #: Long stretches: segments that meet, and some that never do.
+    texts += ["a" * 5000, "".join(rnd.choice("ab") for _ in range(3000)), "".join(rnd.choice("日本語中文字") for _ in range(2000)), "".join(rnd.choice(vocabulary).strip() for _ in range(2000)), "0123456789" * 300]
     texts += ["".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
     texts += ["".join(chr(rnd.choice([rnd.randint(1, 127), rnd.randint(128, 0x2FFF), rnd.randint(0x4E00, 0x9FFF)])) for _ in range(30)) for _ in range(500)]
     encoder = pieces.Encoder(pieces.compiled())
@@ -161,6 +163,67 @@ def test_pieces_are_those_of_the_library(sf_dir):
     assert [t.replace("▁", " ") for t in encoder.decode(ids, starts)] == [t.replace("▁", " ") for t in texts]
 
 
+def unigram_model(path, scores):
+    """A model file of the given pieces and scores, with byte fallback."""
+    import struct
+
+    def field(number, value):
+        if isinstance(value, int):
+            return bytes([number << 3 & 127 | (128 if number > 15 else 0), *([number >> 4] if number > 15 else []), value])
+        if isinstance(value, float):
+            return bytes([number << 3 | 5]) + struct.pack("<f", value)
+        n, size = len(value), b""
+        while n > 127:
+            size, n = size + bytes([n & 127 | 128]), n >> 7
+        return bytes([number << 3 | 2]) + size + bytes([n]) + value
+
+    pieces_ = [("<unk>", 0.0, 2), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), *((p, s, 1) for p, s in scores.items())]
+    raw = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, kind)) for p, s, kind in pieces_)
+    raw += field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+    path.write_bytes(raw)
+
+
+def test_unigram_pieces_are_the_shortest_path(tmp_path):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    rnd = random.Random(9)
+    scores = {"▁": -3.0, "a": -4.0, "b": -4.25, "c": -5.5, "ab": -4.5, "ba": -6.0, "abc": -9.75, "▁a": -3.5, "cab": -7.0, "bab": -6.5, "日本": -5.0, "xy": -4.0}
+    unigram_model(tmp_path / "u.model", scores)
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "u.model"))
+    encoder = pieces.Encoder(pieces.compiled(str(tmp_path / "u.model")))
+    texts = ["", "abc", "x", "xy", "日本x本", "a b  c", "é"] + ["".join(rnd.choice("aaabbbccc xy日本é") for _ in range(rnd.randint(1, 40))) for _ in range(2000)]
+    texts += ["".join(rnd.choice("abc") for _ in range(n)) for n in (300, 1000, 5000)] + ["abcab" * 400]
+    ids, starts = encoder.encode(pa.array(texts))
+    cost = lambda run: sum(encoder.m.weight[i] if i > 256 else 0 for i in run)
+    worst = -encoder.m.weight[-1]
+
+    def best(text):
+        """Weight of the shortest path, the slow way."""
+        x = ("▁" + text.replace(" ", "▁")) if text else ""
+        w = [0] + [1 << 60] * len(x)
+        for i in range(len(x)):
+            w[i + 1] = min(w[i + 1], w[i] - worst if x[i] not in scores else 1 << 60)
+            for p, s in scores.items():
+                if x.startswith(p, i):
+                    w[i + len(p)] = min(w[i + len(p)], w[i] + round(-s * pieces.UNIT))
+        return w[-1]
+
+    for t, a, b in zip(texts, starts, starts[1:]):
+        run = ids[a:b].tolist()
+        aliens = len(bytes(i - 1 for i in run if 0 < i <= 256).decode())
+        assert cost(run) - worst * aliens == best(t)
+    assert sum(ids[a:b].tolist() == w for a, b, w in zip(starts, starts[1:], sp.encode(texts))) >= 0.995 * len(texts)
+    assert encoder.decode(ids, starts) == texts
+
+
+def test_stretches_of_one_hash_are_told_apart(monkeypatch):
+    encoder = pieces.Encoder(pieces.compiled())
+    want = [encoder.encode(pa.array([t]))[0].tolist() for t in ("some words", "other thin")]
+    monkeypatch.setattr(pieces.V, "span_hashes", lambda codes, begin, end: np.zeros(len(begin), np.uint64))
+    encoder.forget()
+    ids, starts = encoder.encode(pa.array(["some words", "other thin"]))
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == want
+
+
 # Kneser-Ney
 
 
