@@ -1,6 +1,10 @@
 """Ranked retrieval over an inverted index, as filtered scans, joins and one aggregation.
 
-The index is a table of postings (field, term, _id, tf, positions, dl). A query
+The index is a table of postings (field, term, tb, _id, tf, positions, dl), and of
+two small ones: the terms of each field with their document frequencies, and the
+number and mean length of each field's documents. It is written once
+(``save_index``) and then read by partition of field and term bucket; without one,
+postings are made from the texts, and only the query's terms are shuffled. A query
 becomes a small set of leaves (terms, patterns, phrases). The postings of these
 terms only are read, scored by BM25 in their field, and gathered once by document;
 the tree is then a column expression over the leaves' scores.
@@ -9,6 +13,7 @@ the tree is then a column expression over the leaves' scores.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,30 +33,51 @@ KEYWORDS = ("names", "name_parts")
 _B = {"name": SETTINGS.bm25_b_name}
 
 
+def bucket_of(term: str, buckets: int) -> int:
+    """The bucket of a term, as the column ``tb`` has it."""
+    return zlib.crc32(term.encode()) % buckets
+
+
+def _bucket(term: str, buckets: int) -> Column:
+    return (F.crc32(F.col(term).cast("binary")) % buckets).cast("int")
+
+
+def _listed(docs: DataFrame, field: str) -> Column:
+    column = F.col(field) if isinstance(docs.schema[field].dataType, T.ArrayType) else F.array(F.col(field))
+    return F.filter(F.coalesce(column, F.array().cast("array<string>")), lambda v: v.isNotNull())
+
+
+def _length(words: Column, text: Column) -> Column:
+    """Tokens among the words of a text: one each, but for words with markers."""
+    split = F.aggregate(words, F.lit(0), lambda n, w: n + F.size(F.filter(F.split(w, X.ZWJ), lambda t: t != "")))
+    return F.when(text.contains(X.ZWJ), split).otherwise(F.size(words))
+
+
 def postings(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """(field, term, _id, tf, positions, dl). Values of a field follow each other
-    with a gap of 100 positions. Keyword fields have whole values as terms."""
+    with a gap of 100 positions. Keyword fields have whole values as terms. A
+    document's length is known before its tokens are spread out, so that a filter
+    on terms is applied before anything is shuffled."""
     out = None
     for f in fields or list(FIELDS):
-        column = F.col(f) if isinstance(docs.schema[f].dataType, T.ArrayType) else F.array(F.col(f))
-        column = F.filter(F.coalesce(column, F.array().cast("array<string>")), lambda v: v.isNotNull())
         if f in KEYWORDS:
-            spread = docs.select("_id", F.explode(F.array_distinct(column)).alias("term"))
+            spread = docs.select("_id", F.explode(F.array_distinct(_listed(docs, f))).alias("term"))
             part = spread.select(F.lit(f).alias("field"), "term", "_id", F.lit(1).alias("tf"), F.array(F.lit(0)).alias("positions"), F.lit(1).alias("dl"))
         else:
             kind = X.ANALYZERS.get(f, "lower")
             if isinstance(docs.schema[f].dataType, T.StringType):
-                placed = X.exploded(docs.where(F.col(f).isNotNull()), F.col(f), kind, "_id").withColumn("at", F.col("pos"))
+                each = docs.where(F.col(f).isNotNull()).select("_id", X.words(F.col(f), kind).alias("ws"), F.col(f).alias("value"))
+                sized = each.select("_id", "ws", _length(F.col("ws"), F.col("value")).alias("dl"), F.lit(0).alias("start"))
             else:
-                each = docs.select("_id", F.posexplode(column).alias("v", "value"))
+                each = docs.select("_id", F.posexplode(_listed(docs, f)).alias("v", "value")).withColumn("ws", X.words(F.col("value"), kind))
                 #: Where a value begins: after all words before it, and the gaps.
                 w = W.partitionBy("_id").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-                sized = each.withColumn("n", F.size(X.words(F.col("value"), kind)))
-                started = sized.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)) + 100 * F.col("v"))
-                placed = X.exploded(started, F.col("value"), kind, "_id", "start").withColumn("at", F.col("start") + F.col("pos"))
-            per = placed.groupBy("_id", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list(F.col("at").cast("int"))).alias("positions"))
-            length = per.groupBy("_id").agg(F.sum("tf").cast("int").alias("dl"))
-            part = per.join(length, "_id").select(F.lit(f).alias("field"), "term", "_id", "tf", "positions", "dl")
+                start = F.coalesce(F.sum(F.size("ws")).over(w), F.lit(0)) + 100 * F.col("v")
+                sized = each.select("_id", "ws", F.sum(_length(F.col("ws"), F.col("value"))).over(W.partitionBy("_id")).cast("int").alias("dl"), start.alias("start"))
+            placed = sized.select("_id", "dl", "start", F.posexplode("ws").alias("pos", "word"))
+            placed = placed.select("_id", "dl", (F.col("start") + F.col("pos")).cast("int").alias("at"), F.explode(F.split("word", X.ZWJ)).alias("term")).where("term <> ''")
+            per = placed.groupBy("_id", "term", "dl").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+            part = per.select(F.lit(f).alias("field"), "term", "_id", "tf", "positions", "dl")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -61,12 +87,52 @@ def field_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("field", "_id").agg(F.first("dl").alias("dl")).groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
-def save_index(post: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings as Parquet by field and term bucket, in order of term: a query reads
-    the row groups of its terms."""
-    post.withColumn("tb", F.pmod(F.xxhash64("term"), F.lit(buckets))).repartition("field", "tb").sortWithinPartitions("field", "tb", "term").write.mode(
-        "overwrite"
-    ).partitionBy("field", "tb").parquet(path)
+def doc_stats(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """The same from the documents, without a shuffle of their tokens."""
+    out = None
+    for f in fields:
+        values = F.array_distinct(_listed(docs, f)) if f in KEYWORDS else _listed(docs, f)
+        if f in KEYWORDS:
+            n, dl = F.size(values), F.lit(1)
+        else:
+            kind = X.ANALYZERS.get(f, "lower")
+            n = F.aggregate(F.transform(values, lambda v: _length(X.words(v, kind), v)), F.lit(0), lambda a, v: a + v)
+            if isinstance(docs.schema[f].dataType, T.StringType):
+                n = F.coalesce(_length(X.words(F.col(f), kind), F.col(f)), F.lit(0))
+            dl = F.col("n")
+        part = docs.select(n.alias("n")).where("n > 0").agg(F.count("*").alias("n_docs"), F.avg(dl).cast("double").alias("avg_dl"))
+        part = part.select(F.lit(f).alias("field"), "n_docs", "avg_dl").where("n_docs > 0")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def save_index(docs: DataFrame, path: str, fields: list[str] | None = None, buckets: int = 64) -> None:
+    """Analyses documents once: postings as Parquet by field and term bucket, in order
+    of term, so that a query reads the row groups of its terms; the dictionary; the
+    fields' statistics, which are written last and mark the index as whole. A hot
+    bucket is divided among tasks at run time."""
+    fields = [f for f in (fields or FIELDS) if f in docs.columns]
+    post = postings(docs, fields).withColumn("tb", _bucket("term", buckets))
+    post.hint("rebalance", "field", "tb").sortWithinPartitions("field", "tb", "term").write.mode("overwrite").partitionBy("field", "tb").parquet(f"{path}/postings")
+    spark = docs.sparkSession
+    written = _written_postings(spark, path)
+    written.groupBy("field", "tb", "term").agg(F.count("*").alias("df")).sortWithinPartitions("field", "tb", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/terms")
+    doc_stats(docs, fields).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def _written_postings(spark: SparkSession, path: str) -> DataFrame:
+    kinds = "term string, _id string, tf int, positions array<int>, dl int, field string, tb int"
+    return spark.read.schema(kinds).parquet(f"{path}/postings")
+
+
+def load_index(spark: SparkSession, path: str, docs: DataFrame, fields: dict[str, float] | None = None) -> SearchIndex:
+    """The index that ``save_index`` wrote of these documents."""
+    stats = spark.read.schema("field string, n_docs long, avg_dl double, buckets int").parquet(f"{path}/stats")
+    first = stats.select("buckets").first()  # a row a field
+    return SearchIndex(
+        docs, _written_postings(spark, path), fields, stats.drop("buckets"), spark.read.schema("tb int, term string, df long, field string").parquet(f"{path}/terms"),
+        first.buckets if first else 1,
+    )
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -84,11 +150,12 @@ def b_of(field: Column) -> Column:
     return out
 
 
-def scored_postings(post: DataFrame, stats: DataFrame) -> DataFrame:
+def scored_postings(post: DataFrame, stats: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Postings with ``score``, the term's BM25 in its field (keyword fields: idf).
-    Document frequencies are counted with partial sums and joined, so that no task
-    has to hold the whole list of a common term."""
-    df = post.groupBy("field", "term").agg(F.count("*").alias("df"))
+    Document frequencies are those of a dictionary; without one they are counted
+    with partial sums and joined, so that no task has to hold the whole list of a
+    common term."""
+    df = post.groupBy("field", "term").agg(F.count("*").alias("df")) if terms is None else terms.select("field", "term", "df")
     joined = post.join(df, ["field", "term"]).join(F.broadcast(stats), "field")  # a row a field
     keyword = F.col("field").isin(*KEYWORDS)
     tf = F.col("tf").cast("double")
@@ -137,11 +204,35 @@ class Leaves:
 class SearchIndex:
     """Documents with their postings, ready to be queried."""
 
-    def __init__(self, docs: DataFrame, post: DataFrame | None = None, fields: dict[str, float] | None = None, stats: DataFrame | None = None):
+    def __init__(
+        self, docs: DataFrame, post: DataFrame | None = None, fields: dict[str, float] | None = None, stats: DataFrame | None = None,
+        terms: DataFrame | None = None, buckets: int | None = None,
+    ):
+        """Without ``post`` the documents are analysed at each query. ``terms`` is the
+        dictionary (field, tb, term, df) of postings that are stored by bucket."""
         self.fields = {f: w for f, w in (fields or FIELDS).items() if f in docs.columns}
         self.docs = docs
+        if stats is None:
+            stats = doc_stats(docs, list(self.fields)) if post is None else field_stats(post)
         self.post = postings(docs, list(self.fields)) if post is None else post
-        self.stats = field_stats(self.post) if stats is None else stats
+        self.stats, self.terms, self.buckets = stats, terms, buckets
+
+    def read(self, wanted: dict[str, list[str]]) -> tuple[DataFrame, DataFrame | None]:
+        """The postings and the dictionary's rows of the given terms of each field; of a
+        stored index only the partitions of their buckets."""
+        test = P.any_of([(F.col("field") == f) & F.col("term").isin(ts) for f, ts in wanted.items()])
+        if self.terms is None:
+            return self.post.where(test), None
+        near = P.any_of([(F.col("field") == f) & F.col("tb").isin(sorted({bucket_of(t, self.buckets) for t in ts})) for f, ts in wanted.items()])
+        return self.post.where(near & test), self.terms.where(test)
+
+    def matching(self, field: str, test: Column) -> DataFrame:
+        """The postings of a field's terms that pass a test; of a stored index the terms
+        are looked for in the dictionary."""
+        if self.terms is None:
+            return self.post.where((F.col("field") == field) & test)
+        found = self.terms.where((F.col("field") == field) & test).select("field", "tb", "term")
+        return self.post.where(F.col("field") == field).join(found, ["field", "tb", "term"], "left_semi")
 
     @property
     def spark(self) -> SparkSession:
@@ -155,12 +246,31 @@ class SearchIndex:
         made = self._build(tree, leaves)
         hits = self._hits(leaves)
         per = hits.groupBy("_id").agg(*[F.max(F.when(F.col("leaf") == i, F.col("score"))).alias(f"s{i}") for i in range(leaves.n)]) if leaves.n else None
-        rows = self.docs.join(per, "_id", "left") if per is not None else self.docs
-        if per is not None and not _may_match_nothing(tree):
-            rows = self.docs.join(per, "_id")
+        if per is None:
+            rows = self.docs
+        elif not self._asks_documents(tree):
+            rows = per
+        else:
+            rows = self.docs.join(per, "_id", "left" if self._may_match_nothing(tree) else "inner")
         matched, score = made()
         return rows.where(F.coalesce(matched, F.lit(False))).select("_id", F.coalesce(score, F.lit(0.0)).cast("double").alias("score"))
 
+    def _asks_documents(self, node: Node) -> bool:
+        """Whether a query can't be answered from postings alone."""
+        if node.kind in ("all", "exists", "range") or (node.field and node.field not in self.fields):
+            return True
+        return self._may_match_nothing(node) or any(self._asks_documents(p) for p in node.parts)
+
+    def _may_match_nothing(self, node: Node) -> bool:
+        """Whether a document without any of the leaves could match."""
+        if node.kind in ("not", "all", "exists", "range"):
+            return True
+        if node.kind == "and":
+            return all(self._may_match_nothing(p) for p in node.parts)
+        if node.kind == "or":
+            return any(self._may_match_nothing(p) for p in node.parts)
+        return bool(node.field) and node.field not in self.fields
+
     def _build(self, node: Node, leaves: Leaves) -> Callable[[], tuple[Column, Column]]:
         """A function that makes (matches, score) of a node from the leaves' columns."""
         boost = node.boost
@@ -242,14 +352,14 @@ class SearchIndex:
         out = []
         if leaves.terms:
             q = spark.createDataFrame(leaves.terms, "leaf int, field string, term string, boost double")
-            wanted = P.any_of([(F.col("field") == f) & F.col("term").isin(sorted({t for _, g, t, _ in leaves.terms if g == f})) for f in sorted({g for _, g, _, _ in leaves.terms})])
-            read = scored_postings(self.post.where(wanted), self.stats)
+            post, terms = self.read({f: sorted({t for _, g, t, _ in leaves.terms if g == f}) for f in sorted({g for _, g, _, _ in leaves.terms})})
+            read = scored_postings(post, self.stats, terms)
             out.append(read.join(F.broadcast(q), ["field", "term"]).select("_id", "leaf", (F.col("score") * F.col("boost")).alias("score")))
         for i, f, pattern, boost in leaves.patterns:
-            out.append(self.post.where((F.col("field") == f) & F.col("term").rlike(pattern)).select("_id", F.lit(i).alias("leaf"), F.lit(boost).alias("score")))
+            out.append(self.matching(f, F.col("term").rlike(pattern)).select("_id", F.lit(i).alias("leaf"), F.lit(boost).alias("score")))
         for i, f, term, edits, boost in leaves.fuzzy:
-            near = (F.col("field") == f) & F.length("term").between(len(term) - edits, len(term) + edits) & (F.levenshtein("term", F.lit(term), edits) >= 0)
-            out.append(self.post.where(near).select("_id", F.lit(i).alias("leaf"), F.lit(boost).alias("score")))
+            near = F.length("term").between(len(term) - edits, len(term) + edits) & (F.levenshtein("term", F.lit(term), edits) >= 0)
+            out.append(self.matching(f, near).select("_id", F.lit(i).alias("leaf"), F.lit(boost).alias("score")))
         if leaves.phrases:
             out.append(self._phrases(leaves.phrases))
         if not out:
@@ -262,8 +372,8 @@ class SearchIndex:
     def _phrases(self, phrases: list[tuple[int, str, list[str], int, float]]) -> DataFrame:
         rows = [(i, f, t, slot, len(ts), slop, boost) for i, f, ts, slop, boost in phrases for slot, t in enumerate(ts)]
         q = self.spark.createDataFrame(rows, "leaf int, field string, term string, slot int, n_slots int, slop int, boost double")
-        wanted = P.any_of([(F.col("field") == f) & F.col("term").isin(sorted({t for _, g, ts, _, _ in phrases if g == f for t in ts})) for f in sorted({p[1] for p in phrases})])
-        read = scored_postings(self.post.where(wanted), self.stats).join(F.broadcast(q), ["field", "term"])
+        post, terms = self.read({f: sorted({t for _, g, ts, _, _ in phrases if g == f for t in ts}) for f in sorted({p[1] for p in phrases})})
+        read = scored_postings(post, self.stats, terms).join(F.broadcast(q), ["field", "term"])
         found = sloppy(read.select("_id", "leaf", "slot", "n_slots", "slop", F.explode("positions").alias("pos")), F.col("slop"), ["_id", "leaf"], max(p[3] for p in phrases))
         weight = read.groupBy("_id", "leaf").agg(
             F.sum_distinct(idf(F.col("n_docs"), F.col("df"))).alias("idf"), F.first("dl").alias("dl"), F.first("avg_dl").alias("avg"), F.first("boost").alias("boost"), F.first(b_of(F.col("field"))).alias("b")
@@ -281,17 +391,6 @@ def _pattern(text: str) -> str:
     return f"^{out}$"
 
 
-def _may_match_nothing(node: Node) -> bool:
-    """Whether a document without any of the leaves could match."""
-    if node.kind in ("not", "all", "exists", "range"):
-        return True
-    if node.kind == "and":
-        return all(_may_match_nothing(p) for p in node.parts)
-    if node.kind == "or":
-        return any(_may_match_nothing(p) for p in node.parts)
-    return bool(node.field) and node.field not in FIELDS
-
-
 def synonym_groups(lines: list[str]) -> dict[str, list[str]]:
     """Rules of words of equal meaning, divided by commas: each word to its group."""
     out: dict[str, list[str]] = {}

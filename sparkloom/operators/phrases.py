@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as X
+from ..scratch import written
 from ..settings import SETTINGS
 from ..sources.transform import values
-from .fulltext import sloppy
+from .fulltext import SearchIndex, sloppy
 
 #: Weight of a match by the kind of name.
 TAGS = {"name": 2.0, "other_name": 0.8}
@@ -45,13 +46,25 @@ def text_tokens(texts: DataFrame, id_col: str = "_id", text_col: str = "content"
     return X.exploded(texts, column, analyzer, F.col(id_col).alias("_id")).select("_id", "term", "pos")
 
 
-def found(phrases: DataFrame, tokens: DataFrame, slop: int = SETTINGS.percolate_slop) -> DataFrame:
-    """(phrase, _id, freq): where each distinct phrase is. A phrase is looked for only
-    in texts that have the rarest of its terms, so that common words never meet all
-    texts; pairs that lack a slot go before the window."""
+def found(phrases: DataFrame, tokens: DataFrame | SearchIndex, slop: int = SETTINGS.percolate_slop, field: str = "content") -> DataFrame:
+    """(phrase, _id, freq): where each distinct phrase is, among tokens or in a field of
+    an index. A phrase is looked for only in texts that have the rarest of its terms,
+    so that common words never meet all texts; pairs that lack a slot go before the
+    window."""
     slots = phrases.select("phrase", "slot", "term", "n_slots").distinct()
-    places = tokens.select("_id", "term").distinct().join(slots.select("term").distinct(), "term", "left_semi")
-    df = places.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = slots.select("term").distinct()
+    if isinstance(tokens, SearchIndex):
+        post = tokens.post.where(F.col("field") == field)
+        if tokens.terms is None:
+            post = written(post.join(wanted, "term", "left_semi").select("term", "_id", "positions"), "places")
+            df = post.groupBy("term").agg(F.count("*").alias("df"))
+        else:
+            known = tokens.terms.where(F.col("field") == field).join(wanted, "term", "left_semi")
+            df, post = known.select("term", "df"), post.join(known.select("tb", "term"), ["tb", "term"], "left_semi")
+        places, tokens = post.select("_id", "term"), post.select("_id", "term", F.explode("positions").alias("pos"))
+    else:
+        places = tokens.select("_id", "term").distinct().join(wanted, "term", "left_semi")
+        df = places.groupBy("term").agg(F.count("*").alias("df"))
     rarest = slots.join(df, "term", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"))
     anchors = rarest.where("r.df > 0").select("phrase", F.col("r.term").alias("term"))
     candidates = places.join(anchors, "term").select("_id", "phrase")
@@ -63,12 +76,12 @@ def found(phrases: DataFrame, tokens: DataFrame, slop: int = SETTINGS.percolate_
     return single.unionByName(sloppy(left.select("phrase", "_id", "slot", "pos", "n_slots"), slop, ["phrase", "_id"]))
 
 
-def percolate(names: DataFrame, texts: DataFrame, id_col: str = "_id", text_col: str = "content", slop: int = SETTINGS.percolate_slop) -> DataFrame:
+def percolate(names: DataFrame, texts: DataFrame | SearchIndex, id_col: str = "_id", text_col: str = "content", slop: int = SETTINGS.percolate_slop) -> DataFrame:
     """(_id, entity_id, score, tags, surface_forms) of every text and every entity
     mentioned in it. Each name adds its tag's weight times its words; tags and names
     that fired are listed in order."""
     phrases = phrase_table(names)
-    hits = found(phrases, text_tokens(texts, id_col, text_col), slop)
+    hits = found(phrases, texts if isinstance(texts, SearchIndex) else text_tokens(texts, id_col, text_col), slop, text_col)
     per = phrases.select("entity_id", "tag", "name", "phrase", "n_slots").distinct()
     weight = F.lit(0.0)
     for tag, w in TAGS.items():
@@ -83,15 +96,15 @@ def percolate(names: DataFrame, texts: DataFrame, id_col: str = "_id", text_col:
     )
 
 
-def mentions(names: DataFrame, docs: DataFrame, slop: int = SETTINGS.percolate_slop, names_col: str | None = "names", text_col: str = "content") -> DataFrame:
+def mentions(names: DataFrame, docs: DataFrame | SearchIndex, slop: int = SETTINGS.percolate_slop, names_col: str | None = "names", text_col: str = "content") -> DataFrame:
     """(_id, score, mention_sources): documents that mention any of the entities, by
     their text, or by a name of their own (which weighs double). The score is the
     sum over entities; a name that several share counts for each of them."""
     phrases = phrase_table(names)
-    hits = found(phrases, text_tokens(docs, "_id", text_col), slop).join(phrases.select("entity_id", "phrase", "n_slots").distinct(), "phrase")
+    hits = found(phrases, docs if isinstance(docs, SearchIndex) else text_tokens(docs, "_id", text_col), slop, text_col).join(phrases.select("entity_id", "phrase", "n_slots").distinct(), "phrase")
     fired = hits.select("_id", "entity_id", (F.col("n_slots") * F.col("freq") / (F.col("freq") + SETTINGS.bm25_k1)).alias("score"))
     if names_col:
-        own = docs.select("_id", F.explode(F.array_distinct(names_col)).alias("key"))
+        own = (docs.docs if isinstance(docs, SearchIndex) else docs).select("_id", F.explode(F.array_distinct(names_col)).alias("key"))
         wanted = names.select("entity_id", N.name_normal(F.col("name")).alias("key")).distinct()
         fired = fired.unionByName(own.join(wanted, "key").select("_id", "entity_id", F.lit(2.0).alias("score")))
     per = fired.groupBy("_id", "entity_id").agg(F.sum("score").alias("score"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..settings import SETTINGS
 from .facets import each_value
+from .fulltext import SearchIndex
 
 
 def jlh(fg: Column, n_fg: Column, bg: Column, n_bg: Column) -> Column:
@@ -71,9 +72,12 @@ def nested(matches: DataFrame, background: DataFrame, field: str, size: int = 20
     return scored.withColumn("k__", F.row_number().over(w)).where(F.col("k__") <= size).drop("k__")
 
 
-def text(matches: DataFrame, background: DataFrame, field: str = "content", size: int | None = 5, min_doc_count: int = 5, distinct_texts: bool = True) -> DataFrame:
+def text(
+    matches: DataFrame, background: DataFrame | SearchIndex, field: str = "content", size: int | None = 5, min_doc_count: int = 5, distinct_texts: bool = True
+) -> DataFrame:
     """(key, n, bg, score): words of a text field, most significant first. Texts of
-    the matches that are equal word by word count once, on request."""
+    the matches that are equal word by word count once, on request. Of an index as
+    the background the dictionary is read, and no text."""
 
     def words(d: DataFrame) -> DataFrame:
         column = F.array_join(field, " ") if d.schema[field].dataType.typeName() == "array" else F.col(field)
@@ -83,5 +87,11 @@ def text(matches: DataFrame, background: DataFrame, field: str = "content", size
     if distinct_texts:
         fg_rows = fg_rows.dropDuplicates(["h"])
     count = lambda d: d.select(F.explode("ws").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    out = _scored(count(fg_rows), count(words(background)), _count(fg_rows), _count(background), min_doc_count).orderBy(F.desc("score"), "key")
+    if not isinstance(background, SearchIndex):
+        bg, n_bg = count(words(background)), _count(background)
+    elif background.terms is None:
+        bg, n_bg = count(words(background.docs)), _count(background.docs)
+    else:
+        bg, n_bg = background.terms.where(F.col("field") == field).select(F.col("term").alias("key"), F.col("df").alias("n")), _count(background.docs)
+    out = _scored(count(fg_rows), bg, _count(fg_rows), n_bg, min_doc_count).orderBy(F.desc("score"), "key")
     return out if size is None else out.limit(size)

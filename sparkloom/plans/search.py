@@ -261,7 +261,7 @@ class MoreLikeThisQuery(_Scored):
     def scores(self) -> DataFrame:
         limits = dict(self.params.similar)
         minimum = limits.pop("minimum")
-        return similar.more_like(self.index.post, self.index.stats, _one(self.index, self.entity), minimum, **limits).select("_id", "score")
+        return similar.more_like(self.index, _one(self.index, self.entity), minimum, **limits).select("_id", "score")
 
     def sorts(self) -> list[tuple[str, str]]:
         return [("score", "desc")]

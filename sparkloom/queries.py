@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import model, streaming
+from . import model, scratch, streaming
 from .functions import names as N
 from .functions import text as X
 from .operators import facets, fulltext, geo, matching, phrases, significant, similar, sorting
@@ -15,6 +15,7 @@ from .operators import predicates as P
 from .plans.query_string import parse
 from .sources import store, transform
 
+SPREAD_BYTES = 256 << 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -34,10 +35,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than there are cores (one small file) is spread over
-    them before its texts are analysed; a larger one stays as it is read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """A table that is read in fewer parts than there are cores, and is small enough to
+    be moved (``SPREAD_BYTES``), is spread over them before its texts are analysed; a
+    larger one stays as it is read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
 # the test tables as documents
@@ -48,8 +52,18 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("_id"), "doc_id", F.col("source").alias("dataset"), F.lit("PlainText").alias("schema"), F.col("text").alias("content"), "lang", "n_chars")
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
 def text_index(spark: SparkSession, sf: str) -> fulltext.SearchIndex:
-    return fulltext.SearchIndex(texts(spark, sf), fields={"content": 1.0})
+    """The stored index of the documents: analysed once in a session, as a search
+    engine does at write, and read by all queries."""
+    known = (spark.sparkContext.applicationId, sf)
+    if known not in _indexes:
+        at = scratch.folder(spark, "index")
+        fulltext.save_index(texts(spark, sf), at, ["content"], 16)
+        _indexes[known] = at
+    return fulltext.load_index(spark, _indexes[known], texts(spark, sf), {"content": 1.0})
 
 
 def order_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,6 +268,13 @@ def _ids(spark, sf, text: str) -> DataFrame:
     return text_index(spark, sf).search(parse(text)).select(F.col("_id").cast("bigint").alias("doc_id"))
 
 
+@query(f"WITH {TOK} SELECT t AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(ts) AS t FROM tok) GROUP BY 1")
+def index_terms(spark, sf):
+    """Builds the index anew, and gives its dictionary."""
+    _indexes.pop((spark.sparkContext.applicationId, sf), None)
+    return text_index(spark, sf).terms.select("term", "df")
+
+
 @query(f"WITH {TOK} SELECT doc_id FROM tok WHERE list_contains(ts, 'the') AND list_contains(ts, 'from')")
 def fulltext_and(spark, sf):
     return _ids(spark, sf, "The AND from")
@@ -345,13 +366,13 @@ b AS (SELECT item_id, ' ' || array_to_string({X.words_sql('text')}, ' ') || ' '
 
 @query(f"{_PASSAGES} SELECT doc_id, item_id FROM d JOIN b ON contains(x, y)")
 def percolate_batch(spark, sf):
-    hits = phrases.percolate(_benchmark_names(spark, sf), texts(spark, sf), slop=0)
+    hits = phrases.percolate(_benchmark_names(spark, sf), text_index(spark, sf), slop=0)
     return hits.select(F.col("_id").cast("bigint").alias("doc_id"), F.col("entity_id").cast("bigint").alias("item_id"))
 
 
 @query(f"{_PASSAGES} SELECT doc_id, array_to_string(list_sort(list(item_id::VARCHAR)), ',') AS sources FROM d JOIN b ON contains(x, y) GROUP BY 1")
 def mentions_multi(spark, sf):
-    hits = phrases.mentions(_benchmark_names(spark, sf), texts(spark, sf), slop=0, names_col=None)
+    hits = phrases.mentions(_benchmark_names(spark, sf), text_index(spark, sf), slop=0, names_col=None)
     return hits.select(F.col("_id").cast("bigint").alias("doc_id"), F.array_join("mention_sources", ",").alias("sources"))
 
 
@@ -359,7 +380,7 @@ def mentions_multi(spark, sf):
 SELECT DISTINCT a.doc_id FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND a.t = 'idiot' AND b.t = 'the' AND abs((b.p - 1) - a.p) <= 2""")
 def mentions_one(spark, sf):
     name = spark.createDataFrame([("e", "name", "Idiot the")], "entity_id string, tag string, name string")
-    return phrases.mentions(name, texts(spark, sf), names_col=None).select(F.col("_id").cast("bigint").alias("doc_id"))
+    return phrases.mentions(name, text_index(spark, sf), names_col=None).select(F.col("_id").cast("bigint").alias("doc_id"))
 
 
 # significance, similarity
@@ -383,7 +404,7 @@ SELECT key, n, bg, round((n / nf - bg / nb) * ((n / nf) / (bg / nb)), 6) AS scor
 def significant_text(spark, sf):
     d = texts(spark, sf)
     toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct()
-    out = significant.text(d.join(toxic, "doc_id", "left_semi"), d, "content", None, 5, distinct_texts=False)
+    out = significant.text(d.join(toxic, "doc_id", "left_semi"), text_index(spark, sf), "content", None, 5, distinct_texts=False)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -393,7 +414,7 @@ pick AS (SELECT * FROM src ORDER BY w DESC, t LIMIT 200), need AS (SELECT greate
 SELECT doc_id, round(sum(score * w / most), 5) AS score, count(*) AS matched FROM s JOIN pick USING (t), need WHERE doc_id <> 10 GROUP BY doc_id, need HAVING count(*) >= need""")
 def more_like_this(spark, sf):
     index = text_index(spark, sf)
-    out = similar.more_like(index.post, index.stats, index.docs.where("_id = '10'"))
+    out = similar.more_like(index, index.docs.where("_id = '10'"))
     return out.select(F.col("_id").cast("bigint").alias("doc_id"), F.round("score", 5).alias("score"), "matched")
 
 
@@ -401,7 +422,7 @@ def more_like_this(spark, sf):
 def more_like_all(spark, sf):
     """Of each document all that are like it: every row is a query."""
     index = text_index(spark, sf)
-    out = similar.more_like(index.post, index.stats, index.docs)
+    out = similar.more_like(index, index.docs)
     return out.select(F.col("source_id").cast("bigint").alias("source_id"), F.col("_id").cast("bigint").alias("doc_id"), F.round("score", 5).alias("score"), "matched")
 
 
@@ -522,8 +543,8 @@ def flagship(spark, sf):
     from .plans.params import from_url
     from .plans.search import EntitiesQuery
 
-    d = texts(spark, sf).withColumns({"index_bucket": F.lit("documents"), "num_values": F.lit(1)})
-    index = fulltext.SearchIndex(d, fields={"content": 1.0})
+    index = text_index(spark, sf)
+    index.docs = index.docs.withColumns({"index_bucket": F.lit("documents"), "num_values": F.lit(1)})
     q = EntitiesQuery(index, from_url("the -idiot", "filter:schema=PlainText&filter:lang=en&facet=dataset"))
     return q.base().select("_id", "dataset", F.round("score", 6).alias("score"))
 

@@ -9,7 +9,7 @@ from sparkloom import model, streaming
 from sparkloom.functions.text import ZWJ
 from sparkloom.operators import facets, geo, matching, phrases, significant, sorting
 from sparkloom.operators import predicates as P
-from sparkloom.operators.fulltext import SearchIndex, field_stats, postings, save_index, synonym_groups
+from sparkloom.operators.fulltext import SearchIndex, doc_stats, field_stats, load_index, postings, save_index, synonym_groups
 from sparkloom.plans import search as S
 from sparkloom.plans.params import Params, from_url
 from sparkloom.sources import store, transform
@@ -53,9 +53,8 @@ def index(spark, entities, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("index"))
     transform.documents(entities, symbols={"vladimir": "N1", "владимир": "N1"}).write.parquet(f"{at}/docs")
     docs = spark.read.parquet(f"{at}/docs")
-    save_index(postings(docs), f"{at}/postings", 4)
-    post = spark.read.parquet(f"{at}/postings").drop("tb")
-    return SearchIndex(docs, post)
+    save_index(docs, f"{at}/index", buckets=4)
+    return load_index(spark, f"{at}/index", docs)
 
 
 def ids(result):
@@ -107,6 +106,23 @@ def test_text(index):
     assert find(index, "no such words") == []
 
 
+def test_index_as_stored_and_as_made(spark, index):
+    made = SearchIndex(index.docs)
+    for q in ("cargo", "cargo harbour", "contract OR report", "cargo -signed", '"anna berg"~2', "manif*", "manifets~", "name:lind OR contract", "emails:ab@example.com OR cargo"):
+        rows = [{(r._id, round(r.score, 9)) for r in i.search(S.parse(q)).collect()} for i in (index, made)]
+        assert rows[0] == rows[1] and rows[0], q
+    stats = [{(r.field, r.n_docs, round(r.avg_dl, 9)) for r in d.collect()} for d in (index.stats, doc_stats(index.docs, list(index.fields)), field_stats(postings(index.docs, list(index.fields))))]
+    assert stats[0] == stats[1] == stats[2]
+    plan = index.search(S.parse("content:cargo"))._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "tb" in plan.split("PartitionFilters")[1]
+
+
+def test_or_over_a_field_that_is_not_searched(spark):
+    docs = spark.createDataFrame([("1", "alpha beta", "foo"), ("2", "gamma", "bar")], "_id string, content string, name string")
+    index = SearchIndex(docs, fields={"content": 1.0})
+    assert sorted(r._id for r in index.search(S.parse("name:foo OR gamma")).collect()) == ["1", "2"]
+
+
 def test_scores_put_names_first(index):
     assert find(index, "nordwind shipping")[0] in ("c1", "c2")
 
