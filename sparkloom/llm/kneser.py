@@ -17,23 +17,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import vectext as V
-from .common import Positional, cut, drop_cut, pick, row_keys, table, widened
+from .common import Positional, cut, drop_cut, pick, table, widened
 from .trust import with_trust
 
 ORDER = 5
 #: One trusted document in HELD isn't trained on; the quantile is over these.
 HELD = 5
-QUANTILE, MARGIN = 0.99, 1.1
+QUANTILE, MARGIN = 0.99, 1.02
 #: A text counts as if so many more characters of its language's mean came with it,
 #: so that a short text needs more evidence than it can give to be rejected.
 PRIOR = 64
-#: Tables of up to so many rows (16 bytes each) are sent to the executors; a
-#: larger model is joined with the documents' n-grams, with the same result.
-SENT_ROWS = 6_000_000
+#: A model of up to so many rows comes to the driver (24 bytes each, 48 MB) and is sent
+#: to the executors; a larger one is joined with the documents' n-grams, by blocks of
+#: so much text, with the same result.
+SENT_ROWS, BLOCK = 2_000_000, 16 << 20
 MARK, SPACE, DIGIT = 2, 32, 48
 #: So much text is counted, or scored, at a time, in bytes; a longer text by itself.
 COUNTED, SCORED = 1_500_000, 400_000
@@ -239,59 +243,88 @@ def scored(df: DataFrame, model: DataFrame, text: str, lang: str, sent: int = SE
         look, langs = table_.value
         for batch in batches:
             for part in V.slices(batch, text, SCORED):
-                x, begin = symbols(part.column(text))
-                n = np.diff(begin) - (ORDER - 1)
-                log_p = _log_p(x, _places(begin), np.repeat(_seeds(part.column(lang)), n), look)
-                sums = np.concatenate([[0], np.cumsum(log_p)])
-                ends = np.concatenate([[0], np.cumsum(n)])
-                nll = np.round(-(sums[ends[1:]] - sums[ends[:-1]]), 3)
-                known = pc.is_in(pc.fill_null(part.column(lang), ""), value_set=pa.array(sorted(langs), pa.string())).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(n), pa.array(nll, mask=~known)], names=[*part.schema.names, "n__", "nll__"]
-                )
+                yield _with_scores(part, text, lang, look, langs)
 
     return df.mapInArrow(run, widened(df, n__="long", nll__="double"))
 
 
-def _scored_by_join(df: DataFrame, model: DataFrame, text: str, lang: str) -> DataFrame:
-    """The same by shuffles: the distinct n-grams of each document, joined order by
-    order with the shards of the model, and summed up by document."""
-    r1, r2 = row_keys(df.columns)
-    rows = df.withColumns({"r1__": r1, "r2__": r2})
+def _block_keys(x: np.ndarray, begin: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Every key that scoring the texts may look up, once each."""
+    n, at = np.diff(begin) - (ORDER - 1), _places(begin)
+    seed = np.repeat(seeds, n)
+    found = [np.unique(keys(x, at, k, seed)) for k in range(1, ORDER + 1)]
+    found += [np.unique(keys(x, at - 1, k, seed)) for k in range(ORDER)]
+    found.append(np.unique(keys(x[:1], np.zeros(len(seeds), np.int64), 0, seeds)) if len(x) else np.zeros(0, V.U64))
+    return np.unique(np.concatenate(found)).view(np.int64)
+
+
+def _scored_by_join(df: DataFrame, model: DataFrame, text: str, lang: str, block_bytes: int = BLOCK) -> DataFrame:
+    """The same by joins. Each task cuts what it reads into blocks of text, written
+    with the distinct n-grams of each block; these are joined with the shards of the
+    model, and come back to their block, where the documents are scored. So the
+    model is nowhere whole, a shuffle carries a block's n-grams once however often
+    they are there, and a text moves once."""
+    whole = T.StructType([T.StructField("block", T.StringType()), T.StructField("key", T.LongType()), T.StructField("row", df.schema)])
+    arrow = to_arrow_schema(whole)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, size, seen = TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.int64)
+
+        def grams() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(seen)), pa.array(seen), pa.nulls(len(seen), arrow.field("row").type)], schema=arrow)
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in V.slices(batch, "text"):
-                x, begin = symbols(part.column("text"))
-                n, at = np.diff(begin) - (ORDER - 1), _places(begin)
-                of = np.repeat(np.arange(len(n)), n)
-                window = np.ascontiguousarray(np.maximum(x, 1)[at[:, None] + np.arange(1 - ORDER, 1)])
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(pa.array(of)) for c in ("r1", "r2", "lang")), pa.array(window.view(f"<U{ORDER}").ravel(), pa.string())],
-                    names=["r1", "r2", "lang", "gram"],
-                )
-
-    narrow = rows.select(F.col("r1__").alias("r1"), F.col("r2__").alias("r2"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("text"))
-    left = narrow.dropDuplicates(["r1", "r2"]).mapInArrow(grams, "r1 long, r2 long, lang string, gram string")
-    left = left.groupBy("r1", "r2", "lang", "gram").agg(F.count("*").alias("n")).withColumn("sum", F.lit(0.0))
-    done = None
-    for k in range(ORDER, -1, -1):
-        here = left.withColumn("key", F.right("gram", F.lit(k)) if k else F.lit(""))
-        found = here.join(model.select("lang", F.col("gram").alias("key"), "p"), ["lang", "key"], "left")
-        hit = found.where("p is not null").select("r1", "r2", "lang", "n", (F.col("sum") + F.col("p")).alias("sum"))
-        done = hit if done is None else done.union(hit)
-        if k:
-            history = F.substring("key", 1, k - 1) if k > 1 else F.lit("")
-            miss = found.where("p is null").drop("p").withColumn("h", history)
-            left = miss.join(model.select("lang", F.col("gram").alias("h"), "g"), ["lang", "h"], "left").select(
-                "r1", "r2", "lang", "gram", "n", (F.col("sum") + F.coalesce("g", F.lit(0.0))).alias("sum")
-            )
-    per = done.groupBy("r1", "r2").agg(F.sum("n").alias("n__"), F.round(-F.sum(F.col("n") * F.col("sum")), 3).alias("nll__"))
-    langs = model.where("gram = ''").select(F.col("lang").alias("known__"))
-    out = rows.join(per.select(F.col("r1").alias("r1__"), F.col("r2").alias("r2__"), "n__", "nll__"), ["r1__", "r2__"], "left")
-    out = out.join(langs, F.coalesce(F.col(lang), F.lit("")) == F.col("known__"), "left")
-    nll = F.when(F.col("known__").isNotNull(), F.coalesce("nll__", F.lit(0.0)))
-    return out.select(*df.columns, F.coalesce("n__", F.lit(0)).alias("n__"), nll.alias("nll__"))
+            for part in V.slices(batch, text, SCORED):
+                name = f"{task}-{number}"
+                x, begin = symbols(part.column(text))
+                seen = np.union1d(seen, _block_keys(x, begin, _seeds(part.column(lang))))
+                row = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(part.columns, arrow.field("row").type)], fields=list(arrow.field("row").type))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * part.num_rows), pa.nulls(part.num_rows, pa.int64()), row], schema=arrow)
+                size += part.column(text).nbytes
+                if size >= block_bytes:
+                    yield grams()
+                    number, size, seen = number + 1, 0, np.zeros(0, np.int64)
+        if len(seen):
+            yield grams()
+
+    written = cut(df.mapInArrow(blocks, whole), "blocks")
+    found = written.where("key is not null").select("block", "key").join(keyed(model), "key").select("block", "key", "p", "g")
+    lined = written.where("key is null").select("block", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("g"), "row")
+    both = found.withColumn("row", F.lit(None).cast(df.schema)).unionByName(lined)
+    together = both.repartition("block").sortWithinPartitions("block", F.col("key").isNull())
+    known = {r.lang for r in model.where("gram = ''").select("lang").collect()}  # a row a language
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, look = None, [], None
+        for batch in batches:
+            names = pc.dictionary_encode(batch.column("block"))
+            of = names.indices.to_numpy()
+            for a, b in zip(c := [0, *(np.flatnonzero(np.diff(of)) + 1).tolist()], [*c[1:], batch.num_rows]):
+                piece = batch.slice(a, b - a)
+                if (name := names.dictionary[int(of[a])].as_py()) != now:
+                    now, held, look = name, [], None
+                gram = pc.is_valid(piece.column("key"))
+                if (n := pc.sum(gram).as_py() or 0):
+                    held.append([piece.column(i).slice(0, n).to_numpy() for i in ("key", "p", "g")])
+                if n < piece.num_rows:
+                    if look is None:
+                        look = Lookup(*map(np.concatenate, zip(*held))) if held else Lookup(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+                    rows = pa.RecordBatch.from_struct_array(piece.column("row").slice(n))
+                    for part in V.slices(rows, text, SCORED):
+                        yield _with_scores(part, text, lang, look, known)
+
+    return together.mapInArrow(run, widened(df, n__="long", nll__="double"))
+
+
+def _with_scores(part: pa.RecordBatch, text: str, lang: str, look: Lookup, langs: set[str]) -> pa.RecordBatch:
+    x, begin = symbols(part.column(text))
+    n = np.diff(begin) - (ORDER - 1)
+    log_p = _log_p(x, _places(begin), np.repeat(_seeds(part.column(lang)), n), look)
+    sums = np.concatenate([[0], np.cumsum(log_p)])
+    ends = np.concatenate([[0], np.cumsum(n)])
+    nll = np.round(-(sums[ends[1:]] - sums[ends[:-1]]), 3)
+    known = pc.is_in(pc.fill_null(part.column(lang), ""), value_set=pa.array(sorted(langs), pa.string())).to_numpy(zero_copy_only=False)
+    return pa.RecordBatch.from_arrays([*part.columns, pa.array(n), pa.array(nll, mask=~known)], names=[*part.schema.names, "n__", "nll__"])
 
 
 def limits(held: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> dict[str, tuple[float, float]]:
@@ -320,18 +353,20 @@ def _fitted(docs: DataFrame, labels: DataFrame, sent: int) -> tuple[DataFrame, d
 
 def judged(df: DataFrame, docs: DataFrame, labels: DataFrame, text: str, lang: str, sent: int = SENT_ROWS) -> DataFrame:
     """All columns of ``df``, perplexity__ (null of a text without symbols or a
-    language without a model) and keep__; see ``keep``."""
+    language without a model), compared__ (the same with PRIOR more symbols of the
+    language's mean), limit__ (the greatest that stays, of the language) and keep__;
+    see ``keep``."""
     model, most = _fitted(docs, labels, sent)
     out = scored(df, model, text, lang, sent)
-    s = _shrunk(F.col(lang), {k: m for k, (m, _) in most.items()})
+    s = F.round(_shrunk(F.col(lang), {k: m for k, (m, _) in most.items()}), 6)
     limit = F.lit(None).cast("double")
     if most:
         limit = F.try_element_at(
-            F.create_map(*[F.lit(x) for k, (_, q) in most.items() for x in (k, float(q))]), F.coalesce(F.col(lang), F.lit(""))
+            F.create_map(*[F.lit(x) for k, (_, q) in most.items() for x in (k, round(float(q), 6))]), F.coalesce(F.col(lang), F.lit(""))
         )
     ok = (F.col("n__") > 0) & ~F.coalesce(s > limit, F.lit(False))
-    perplexity = F.when(F.col("n__") > 0, F.round(F.exp(F.col("nll__") / F.col("n__")), 3))
-    return out.withColumn("keep__", ok).withColumn("perplexity__", perplexity).drop("n__", "nll__")
+    value = lambda c: F.when(F.col("n__") > 0, F.round(F.exp(c), 3))
+    return out.withColumns({"keep__": ok, "perplexity__": value(F.col("nll__") / F.col("n__")), "compared__": value(s), "limit__": value(limit)}).drop("n__", "nll__")
 
 
 def keep(docs: DataFrame, labels: DataFrame, sent: int = SENT_ROWS) -> DataFrame:
@@ -348,8 +383,9 @@ def keep(docs: DataFrame, labels: DataFrame, sent: int = SENT_ROWS) -> DataFrame
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that aren't rejected, with their perplexity."""
+    """The documents that aren't rejected, with their perplexity, the number that was
+    compared, and the limit of their language."""
     docs = table(spark, sf_dir, "documents")
     rows = pick(docs, "doc_id", "lang", "text")
     out = judged(rows, docs, table(spark, sf_dir, "labels"), "text", "lang").where("keep__")
-    return out.select("doc_id", "lang", F.col("perplexity__").alias("perplexity"))
+    return out.select("doc_id", "lang", *[F.col(f"{c}__").alias(c) for c in ("perplexity", "compared", "limit")])
