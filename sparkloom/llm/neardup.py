@@ -11,14 +11,14 @@ Candidates come from the posting lists without a cap:
   than ``min_matches`` pairs left can't match at all (exact);
 * prefix merging: with c pairs left, in order of list length, two nodes that
   match share one among the first c - min_matches + 1 of each (exact);
-* skip merging: members of a list are compared with its least node, and if that
-  doesn't connect them all, with a few more; what is connected already isn't
-  compared again. A list of n copies costs n comparisons;
-* what is left of a short list is compared pair by pair. A long one is divided by
-  the next pair its members share, with the same prefix rule over what is left
-  (two that match share ``min_matches`` pairs, so also one of the next few),
-  until its parts are short or connected. So no long list is compared all with
-  all, and none is capped (exact).
+* skip merging: members of a list are compared with its least node. What that
+  connects isn't compared again, so a list of n copies costs n comparisons;
+* a list of few members beside its largest component is compared pair by pair but
+  for that. In others more nodes are tried, and what is left is divided by the
+  next pair its members share, with the same prefix rule over what is left (two
+  that match share ``min_matches`` pairs, so also one of the next few), until the
+  parts are connected or few. So no long list is compared all with all, and none
+  is capped (exact).
 """
 
 from __future__ import annotations
@@ -32,13 +32,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import Positional, cut, drop_cut, pick, row_keys, table, widened
+from .common import Positional, cut, pick, row_keys, table, widened
 from .graph import components
 
 WIDTH, COORDINATES, MIN_MATCHES = 3, 64, 28
-#: Lists of up to so many nodes are compared pair by pair where they must be.
+#: So many members of a list, beside its largest component, are compared with all of it.
 SMALL = 64
-#: With so many nodes a list is compared if its least one doesn't connect it.
+#: With so many nodes a list is compared if its least one doesn't connect most of it.
 PROBES = 4
 
 
@@ -144,19 +144,19 @@ def _ordered(nodes: DataFrame, k: int, least: int) -> DataFrame:
     )
 
 
-def _open(lists: DataFrame, roots: DataFrame | None, **more: Column) -> DataFrame:
-    """(list, node, rank, c, root, n, more...): the lists whose members aren't all
-    connected yet, with each member's component; ``more`` are aggregates of a list."""
-    rooted = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    per = rooted.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), *[c.alias(k) for k, c in more.items()])
-    return rooted.join(per.where("a <> b").drop("a", "b"), "list")
+def _rooted(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return lists.withColumn("root", F.col("node"))
+    return lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _starred(lists: DataFrame, roots: DataFrame | None, nodes: DataFrame, k: int, least: int, *order: Column) -> tuple[DataFrame, DataFrame]:
     """Compares each list's members with its least one in each of the orders. The
-    lists that were open, and the components (node, root) there are now."""
+    lists of more than one component, and the components (node, root) there are now."""
+    rooted = _rooted(lists, roots)
     hubs = F.array_distinct(F.array(*[F.min_by(F.struct("node", "root"), o) for o in order]))
-    held = cut(_open(lists, roots, hubs=hubs), "lists")
+    per = rooted.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b"), hubs.alias("hubs")).where("a <> b").drop("a", "b")
+    held = cut(rooted.join(per, "list"), "lists")
     stars = held.select("node", "root", F.explode("hubs").alias("h")).where("h.root <> root")
     near = _matching(stars.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), nodes, k, least)
     return held.select("list", "node", "rank", "c"), _joined(near, roots)
@@ -167,6 +167,21 @@ def _joined(near: DataFrame, roots: DataFrame | None) -> DataFrame:
     return components(edges if roots is None else edges.union(roots.select("node", "root")))
 
 
+def _compared(lists: DataFrame, roots: DataFrame, nodes: DataFrame, k: int, least: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """Compares all that isn't connected in the lists of at most ``small`` members
+    beside their largest component. The other open lists, and the components."""
+    rooted = _rooted(lists, roots)
+    sizes = rooted.groupBy("list", "root").agg(F.count("*").alias("m"))
+    per = sizes.groupBy("list").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("n")).where("top.m < n")
+    left = cut(rooted.join(per.select("list", F.col("top.root").alias("top"), (F.col("n") - F.col("top.m")).alias("rest")), "list"), "open")
+    few = left.where(F.col("rest") <= small)
+    if not few.isEmpty():
+        pairs = few.where("root <> top").select("list", F.col("node").alias("u"), F.col("root").alias("r")).join(few.select("list", "node", "root"), "list")
+        pairs = pairs.where("r <> root").select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct()
+        roots = _joined(_matching(pairs, nodes, k, least), roots)
+    return left.where(F.col("rest") > small).select("list", "node", "rank", "c"), roots
+
+
 def matched_components(nodes: DataFrame, k: int = COORDINATES, least: int = MIN_MATCHES, small: int = SMALL) -> DataFrame:
     """(node, root) of the nodes (node, sig), of distinct signature, that match
     another one: the connected components of all matching pairs."""
@@ -174,21 +189,15 @@ def matched_components(nodes: DataFrame, k: int = COORDINATES, least: int = MIN_
     lists, roots = ordered.where(F.col("rank") <= F.col("c") - least + 1).select(F.col("key").alias("list"), "node", "rank", "c"), None
     for depth in range(1, k + 1):
         lists, roots = _starred(lists, roots, nodes, k, least, F.col("node"))
-        left = cut(_open(lists, roots), "open")
-        if left.isEmpty():
+        lists, roots = _compared(lists, roots, nodes, k, least, small)
+        if lists.isEmpty():
             return roots
-        others = [F.xxhash64("list", "node", F.lit(i)) for i in range(PROBES)]
-        lists, roots = _starred(left.select("list", "node", "rank", "c"), roots, nodes, k, least, *others)
-        drop_cut(left)
-        left = cut(_open(lists, roots), "open")
-        few, many = left.where(F.col("n") <= small), left.where(F.col("n") > small)
-        if not few.isEmpty():
-            pairs = few.select("list", F.col("node").alias("a"), F.col("root").alias("r")).join(few.select("list", F.col("node").alias("b"), "root"), "list")
-            roots = _joined(_matching(pairs.where("a < b and r <> root").select("a", "b").distinct(), nodes, k, least), roots)
-        if many.isEmpty():
+        lists, roots = _starred(lists, roots, nodes, k, least, *[F.xxhash64("list", "node", F.lit(i)) for i in range(PROBES)])
+        lists, roots = _compared(lists, roots, nodes, k, least, small)
+        if lists.isEmpty():
             return roots
         #: Who matches shares least - depth more pairs beyond the last one, and so one of the first of them.
-        further = many.select("list", "node", F.col("rank").alias("upto"), "c").join(ordered.drop("c"), "node")
+        further = lists.withColumnRenamed("rank", "upto").join(ordered.drop("c"), "node")
         lists = further.where((F.col("rank") > F.col("upto")) & (F.col("rank") <= F.col("c") - least + depth + 1)).select(
             F.xxhash64("list", "key").alias("list"), "node", "rank", "c"
         )
