@@ -89,7 +89,7 @@ def main(argv: list[str] | None = None) -> int:
         tests = list(q.tests().values())
         print(table.delete(search.P.all_of(tests)) if tests else 0)
     else:
-        index = SearchIndex(table.read())
+        index = table.search_index()
         rules = synonym_groups([r.value for r in spark.read.text(a.synonyms).collect()]) if a.synonyms else None
         p = from_url("", getattr(a, "args", ""))
         if a.command == "search":

@@ -71,19 +71,24 @@ def phrases_marked(text: str, phrases: list[list[str]], slop: int = 2, tag: str
     return "".join(out) + html.escape(text[at:], quote=False), n
 
 
-def fragments(text: str, words: set[str], patterns: list[re.Pattern], size: int, count: int, no_match: int, whole: bool = False) -> list[str]:
-    """Up to ``count`` passages of whole sentences of about ``size`` characters, those
-    with the most marks first and then in order; without a mark the beginning."""
-    if whole:
-        got, n = marked(text, words, patterns)
-        return [got] if n else []
+def _passages(text: str, size: int) -> list[str]:
+    """Runs of whole sentences of about so many characters."""
     parts, now = [], ""
     for s in _SENTENCE.split(text):
         if now and len(now) + len(s) > size:
             parts.append(now)
             now = ""
         now = f"{now} {s}".strip()
-    parts += [now] if now else []
+    return [*parts, now] if now else parts
+
+
+def fragments(text: str, words: set[str], patterns: list[re.Pattern], size: int, count: int, no_match: int, whole: bool = False) -> list[str]:
+    """Up to ``count`` passages of whole sentences of about ``size`` characters, those
+    with the most marks first and then in order; without a mark the beginning."""
+    if whole:
+        got, n = marked(text, words, patterns)
+        return [got] if n else []
+    parts = _passages(text, size)
     scored = [(marked(p, words, patterns), i) for i, p in enumerate(parts)]
     best = sorted((x for x in scored if x[0][1]), key=lambda x: (-x[0][1], x[1]))[:count]
     if best:
@@ -126,6 +131,30 @@ def highlight(hits: DataFrame, node: Node, count: int = SETTINGS.highlight_fragm
     return hits.join(made, "_id", "left")
 
 
+def phrase_passages(hits: DataFrame, names: str, count: int = SETTINGS.highlight_fragments, slop: int = SETTINGS.percolate_slop, text: str = "content") -> DataFrame:
+    """Hits with ``highlight``, a map of ``text`` to passages in which the hit's own
+    names (an array) are marked as wholes, and ``surface_forms``, the marked places as
+    they are written, of the whole text."""
+    size = SETTINGS.highlight_fragment
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            passages, forms = [], []
+            for value, own in zip(frame[text], frame["names__"]):
+                value = "\n".join(v for v in ([value] if isinstance(value, str) else value if value is not None else []) if v)
+                words = [w for w in (X.words_of(n) for n in (own if own is not None else [])) if w]
+                whole, _ = phrases_marked(value, words, slop)
+                forms.append(sorted({html.unescape(m) for m in re.findall(r"(?s)<em>(.*?)</em>", whole)}))
+                parts = [x for x in (phrases_marked(p, words, slop) for p in _passages(value, size)) if x[1]]
+                passages.append({text: [p for p, _ in parts[: count or None]]} if parts else {})
+            yield pd.DataFrame({"_id": frame["_id"], "highlight": passages, "surface_forms": forms})
+
+    column = F.col(text) if isinstance(hits.schema[text].dataType, T.ArrayType) else F.array(text)
+    given = hits.select("_id", column.alias(text), F.col(names).alias("names__"))
+    made = given.mapInPandas(run, "_id string, highlight map<string,array<string>>, surface_forms array<string>")
+    return hits.join(made, "_id", "left")
+
+
 def surface_forms(column: str) -> Column:
     """Distinct texts within <em> tags of an array of passages, in order."""
     return F.array_sort(F.array_distinct(F.flatten(F.transform(column, lambda t: F.regexp_extract_all(t, F.lit("<em>(.*?)</em>"), F.lit(1))))))

@@ -77,9 +77,9 @@ def found(phrases: DataFrame, tokens: DataFrame | SearchIndex, slop: int = SETTI
 
 
 def percolate(names: DataFrame, texts: DataFrame | SearchIndex, id_col: str = "_id", text_col: str = "content", slop: int = SETTINGS.percolate_slop) -> DataFrame:
-    """(_id, entity_id, score, tags, surface_forms) of every text and every entity
-    mentioned in it. Each name adds its tag's weight times its words; tags and names
-    that fired are listed in order."""
+    """(_id, entity_id, score, tags, fired) of every text and every entity mentioned in
+    it. Each name adds its tag's weight times its words; tags and names that fired
+    are listed in order."""
     phrases = phrase_table(names)
     hits = found(phrases, texts if isinstance(texts, SearchIndex) else text_tokens(texts, id_col, text_col), slop, text_col)
     per = phrases.select("entity_id", "tag", "name", "phrase", "n_slots").distinct()
@@ -91,7 +91,7 @@ def percolate(names: DataFrame, texts: DataFrame | SearchIndex, id_col: str = "_
         .groupBy("_id", "entity_id")
         .agg(
             F.sum(weight * F.col("n_slots") * F.col("freq") / (F.col("freq") + SETTINGS.bm25_k1)).alias("score"),
-            F.array_sort(F.collect_set("tag")).alias("tags"), F.array_sort(F.collect_set("name")).alias("surface_forms"),
+            F.array_sort(F.collect_set("tag")).alias("tags"), F.array_sort(F.collect_set("name")).alias("fired"),
         )
     )
 

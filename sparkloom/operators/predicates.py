@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from ..functions.names import normalize_name
 from ..sources.transform import parse_date, parse_number
 
 OPS = ("gt", "gte", "lt", "lte")
+TEXT_QUERIES = ("match", "match_phrase", "query_string")
 _UNITS = {"y": "year", "M": "month", "w": "week", "d": "day", "h": "hour", "m": "minute", "s": "second"}
 
 
@@ -136,14 +138,15 @@ def filter_text(field: str, values: list, invert: bool = False) -> str:
     return f"{sign}{quoted[0]}" if len(quoted) == 1 else f"{sign}({' OR '.join(quoted)})"
 
 
-def from_body(df: DataFrame, body: dict) -> Column:
+def from_body(df: DataFrame, body: dict, text: Callable[[str, dict], Column] | None = None) -> Column:
     """A query tree (bool, term, terms, ids, range, prefix, exists, match_all,
-    match_none) as one condition. Text queries have their own plan."""
+    match_none) as one condition. Text queries (match, match_phrase, query_string)
+    have a plan of their own, whose condition ``text`` gives."""
     (kind, spec), *more = body.items()
     if more:
         raise ValueError("one query at each level")
     if kind == "bool":
-        listed = lambda k: [from_body(df, q) for q in (spec.get(k) if isinstance(spec.get(k), list) else [spec[k]] if spec.get(k) else [])]
+        listed = lambda k: [from_body(df, q, text) for q in (spec.get(k) if isinstance(spec.get(k), list) else [spec[k]] if spec.get(k) else [])]
         must, should = listed("must") + listed("filter"), listed("should")
         need = spec.get("minimum_should_match", 0 if must else 1) if should else 0
         tests = must + [~t for t in listed("must_not")]
@@ -154,6 +157,8 @@ def from_body(df: DataFrame, body: dict) -> Column:
         return F.lit(True)
     if kind == "match_none":
         return F.lit(False)
+    if kind in TEXT_QUERIES and text is not None:
+        return text(kind, spec)
     if kind == "ids":
         return field_terms(df, "_id", spec["values"])
     if kind == "exists":

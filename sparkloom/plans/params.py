@@ -188,6 +188,9 @@ class Params:
     def significant_total(self, f: str) -> bool:
         return self._total("facet_significant", f)
 
+    def significant_type(self, f: str) -> str | None:
+        return self.get(f"facet_significant_type:{f}")
+
     def significant_values(self, f: str) -> bool:
         return self.getbool(f"facet_significant_values:{f}", True)
 

@@ -155,6 +155,8 @@ class EntitiesQuery:
                 least = 1 if how == "random" else SETTINGS.significant_min_doc_count
                 if p.significant_values(f):
                     out[f"{f}.significant_terms"] = significant.terms(drawn, background, f, p.significant_size(f), least)
+                    if p.significant_type(f) == "nested":
+                        out[f"{f}.significant_nested"] = significant.nested(drawn, background, f, p.significant_size(f), least)
                 if p.significant_total(f):
                     out[f"{f}.significant_cardinality"] = facets.cardinality(drawn, f)
             if (f := p.significant_text) is not None:
@@ -305,7 +307,32 @@ class PercolatorQuery(_Scored):
             texts = texts.limit(0)
         names = phrases.names_of(self.index.docs.where(F.col("index_bucket") == "things"))
         found = phrases.percolate(names, texts)
-        return found.select(F.col("entity_id").alias("_id"), "score", F.col("tags").alias("percolator_match"), "surface_forms")
+        return found.select(F.col("entity_id").alias("_id"), "score", F.col("tags").alias("percolator_match"), "fired")
+
+    def finish(self, base: DataFrame) -> Result:
+        """``surface_forms`` are the places of the text as they are written there, from the
+        marked passages; without highlights there are none."""
+        out = super().finish(base)
+        hits = out.hits.drop("highlight")
+        if not self.params.highlight:
+            hits = hits.withColumn("surface_forms", F.array().cast("array<string>"))
+        else:
+            marked = highlighting.phrase_passages(hits.withColumn("content", F.lit(self.text)), "fired", self.params.highlight_count)
+            hits = marked.drop("content").orderBy(*sorting.sort_columns(marked, self.sorts()))
+        return replace(out, hits=hits.drop("fired"))
+
+
+def _with_mentions_marked(query: _Scored, out: Result) -> Result:
+    """Hits whose passages have the mentioned names marked, each as a whole."""
+    if not query.params.highlight:
+        return out
+    hits = out.hits.drop("highlight")
+    names = query.names.select("entity_id", "name").distinct()
+    own = hits.select("_id", F.explode("mention_sources").alias("entity_id")).join(names, "entity_id").groupBy("_id").agg(F.collect_set("name").alias("fired"))
+    text = query.index.docs.select("_id", "content").join(F.broadcast(hits.select("_id")), "_id", "left_semi")  # a page
+    marked = highlighting.phrase_passages(hits.drop("content").join(own, "_id").join(text, "_id"), "fired", query.params.highlight_count)
+    hits = marked.drop("fired", "content").orderBy(*sorting.sort_columns(marked, query.sorts()))
+    return replace(out, hits=hits)
 
 
 class MentionsQuery(_Scored):
@@ -326,8 +353,11 @@ class MentionsQuery(_Scored):
         self.sources = source.select("_id")
 
     def scores(self) -> DataFrame:
-        docs = self.index.docs.join(F.broadcast(self.sources), "_id", "left_anti")  # one id
-        return phrases.mentions(self.names, docs)
+        found = phrases.mentions(self.names, self.index)
+        return found.join(F.broadcast(self.sources), "_id", "left_anti")  # one id
+
+    def finish(self, base: DataFrame) -> Result:
+        return _with_mentions_marked(self, super().finish(base))
 
 
 class MultiMentionsQuery(_Scored):
@@ -339,13 +369,17 @@ class MultiMentionsQuery(_Scored):
         super().__init__(index, params)
         found = EntitiesQuery(index, replace(source_params, default_limit=0)).base()
         self.names = phrases.names_of(found).where("tag = 'name'")
-        if max_names is not None:
+        max_names = SETTINGS.mention_names if max_names is None else max_names
+        if max_names:  # 0 is no limit
             n = self.names.limit(max_names + 1).count()
             if n > max_names:
                 raise ValueError(f"Source filter matched more than {max_names} names")
 
     def scores(self) -> DataFrame:
-        return phrases.mentions(self.names, self.index.docs)
+        return phrases.mentions(self.names, self.index)
+
+    def finish(self, base: DataFrame) -> Result:
+        return _with_mentions_marked(self, super().finish(base))
 
 
 def search_query_string(index: SearchIndex, q: str, args: str = "", auth: model.Auth | None = None, synonyms: dict[str, list[str]] | None = None) -> Result:
@@ -354,21 +388,30 @@ def search_query_string(index: SearchIndex, q: str, args: str = "", auth: model.
     return EntitiesQuery(index, from_url(q, args, auth), synonyms).search()
 
 
+def _text_node(kind: str, spec: dict) -> Node:
+    if kind == "query_string":
+        return parse(spec["query"], spec.get("default_operator", "and").lower())
+    (f, v), *_ = spec.items()
+    text = v["query"] if isinstance(v, dict) else v
+    return Node("phrase" if kind == "match_phrase" else "words", f, text, int(v.get("slop", 0)) if isinstance(v, dict) else 0)
+
+
 def search_body(index: SearchIndex, body: dict, sorts: list[tuple[str, str]] | None = None) -> Result:
-    """A query tree of the caller's own. Texts in it are ``match`` or ``match_phrase``
-    at the top; all else are conditions."""
+    """A query tree of the caller's own, with texts anywhere in it. A document's score
+    is the sum of those of its texts; without a text in the tree each has 1."""
     query = body.get("query", {"match_all": {}})
-    (kind, spec), *_ = query.items()
-    if kind in ("match", "match_phrase", "query_string"):
-        if kind == "query_string":
-            node = parse(spec["query"], spec.get("default_operator", "and").lower())
-        else:
-            (f, v), *_ = spec.items()
-            text = v["query"] if isinstance(v, dict) else v
-            node = Node("phrase" if kind == "match_phrase" else "words", f, text, int(v.get("slop", 0)) if isinstance(v, dict) else 0)
-        rows = index.docs.join(index.search(node), "_id")
-    else:
-        rows = index.docs.where(P.from_body(index.docs, query)).withColumn("score", F.lit(1.0))
+    rows, marks = index.docs, []
+
+    def text(kind: str, spec: dict) -> Column:
+        nonlocal rows
+        mark = f"text{len(marks)}__"
+        marks.append(mark)
+        rows = rows.join(index.search(_text_node(kind, spec)).withColumnRenamed("score", mark), "_id", "left")
+        return F.col(mark).isNotNull()
+
+    test = P.from_body(index.docs, query, text)
+    score = sum((F.coalesce(m, F.lit(0.0)) for m in marks), F.lit(0.0)) if marks else F.lit(1.0)
+    rows = rows.where(test).withColumn("score", score).drop(*marks)
     hits = sorting.page(rows, sorts or [], body.get("from", 0), body.get("size", SETTINGS.query_limit))
     return Result(hits, rows)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import model
+from ..settings import SETTINGS
 from ..functions import names as N
 
 VALUES = "map<string,array<string>>"
@@ -76,6 +77,12 @@ def numeric(types: dict[str, str]) -> Column:
     return F.map_filter(F.create_map(*entries), lambda k, v: F.size(v) > 0)
 
 
+def is_entity() -> Column:
+    """Whether a row has an id and a concrete class."""
+    known = [s.name for s in model.SCHEMATA.values() if not s.abstract]
+    return F.col("id").isNotNull() & F.col("schema").isin(known)
+
+
 def documents(entities: DataFrame, dataset: str | None = None, collection_id: int | None = None, symbols: dict[str, str] | None = None) -> DataFrame:
     """One document for each entity of a concrete class; others are left out.
 
@@ -85,8 +92,9 @@ def documents(entities: DataFrame, dataset: str | None = None, collection_id: in
     for f in ENTITY.fields:
         if f.name not in entities.columns:
             entities = entities.withColumn(f.name, F.lit(None).cast(f.dataType))
-    known = [s.name for s in model.SCHEMATA.values() if not s.abstract]
-    df = entities.where(F.col("id").isNotNull() & F.col("schema").isin(known))
+    df = entities.where(is_entity())
+    if SETTINGS.id_namespace and dataset:
+        df = df.withColumn("id", signed_id("id", dataset))
     df = df.withColumn("properties", F.coalesce("properties", F.create_map().cast(VALUES)))
     types = model.property_types()
     running = [n for n, k in types.items() if k in model.TEXT_TYPES and n != "translatedText"]

@@ -195,6 +195,8 @@ def test_bodies(index):
     assert sorted(ids(S.search_body(index, body))) == ["p4", "p5"]
     assert ids(S.search_body(index, {"query": {"match_phrase": {"content": {"query": "the contract"}}}})) == ["d1"]
     assert ids(S.search_body(index, {"query": {"match_none": {}}})) == []
+    mixed = {"query": {"bool": {"must": [{"match": {"content": "cargo"}}], "must_not": {"match_phrase": {"content": "the contract"}}, "filter": {"terms": {"_id": ["d1", "d3"]}}}}}
+    assert ids(S.search_body(index, mixed)) == ["d3"]
     with pytest.raises(ValueError):
         S.search_body(index, {"query": {"bool": {"must": {"odd": {"a": 1}}}}})
 
@@ -217,9 +219,11 @@ def test_joins_are_equi_joins(index):
 
 
 def test_percolation(index):
-    r = S.PercolatorQuery(index, from_url(""), text="Said by Berg Anna of the old harbour office.").search()
+    r = S.PercolatorQuery(index, from_url("", "highlight=true"), text="Said by Berg Anna of the old harbour office.").search()
     got = {x["_id"]: x for x in r.rows()}
-    assert {"p1", "c3"} <= set(got) and got["c3"]["percolator_match"] == ["name", "other_name"] and "Anna Berg" in got["p1"]["surface_forms"]
+    assert {"p1", "c3"} <= set(got) and got["c3"]["percolator_match"] == ["name", "other_name"] and got["p1"]["surface_forms"] == ["Berg Anna"]
+    assert got["p1"]["highlight"]["content"] == ["Said by <em>Berg Anna</em> of the old harbour office."] and got["c3"]["surface_forms"] == ["old harbour office"]
+    assert [x["surface_forms"] for x in S.PercolatorQuery(index, from_url(""), text="Said by Berg Anna.").search().rows()] == [[]] * 2
     r = S.PercolatorQuery(index, from_url(""), entity_id="d1").search()
     assert {"c1", "p1"} <= set(ids(r))
     for kw in ({}, {"text": "a", "entity_id": "b"}):
@@ -234,10 +238,14 @@ def test_mentions(index):
     got = {x["_id"]: x for x in S.MentionsQuery(index, from_url(""), "p1").search().rows()}
     assert set(got) == {"d1", "d2", "d5"} and got["d1"]["mention_sources"] == ["p1"]
     assert ids(S.MentionsQuery(index, from_url("contract"), "p1").search()) == ["d1"]
+    marked = {x["_id"]: x["highlight"]["content"] for x in S.MentionsQuery(index, from_url("", "highlight=true"), "p1").search().rows()}
+    assert "<em>Anna Berg</em> signed" in marked["d1"][0] and set(marked) == {"d1", "d2", "d5"}
     r = S.MultiMentionsQuery(index, from_url(""), from_url("", "filter:schema=Person&filter:schema=Company")).search()
     rows = {x["_id"]: x["mention_sources"] for x in r.rows()}
     assert rows["d1"] == ["c1", "p1", "p2"] or set(rows["d1"]) >= {"c1", "p1"}
     assert set(rows["d2"]) >= {"p1", "p5"}
+    r = S.search_query_string(index, "", "filter:schema=Person&facet_significant=names&facet_significant_type:names=nested")
+    assert "names.significant_nested" in r.facets
     with pytest.raises(ValueError, match="Source filter"):
         S.MultiMentionsQuery(index, from_url(""), from_url("", "filter:schema=Person"), max_names=1)
     for bad, why in (("", "entity_id"), ("nobody", "not found"), ("y1", "no matchable names")):
@@ -316,11 +324,53 @@ def test_store(spark, entities, tmp_path):
     assert s.version() == 0
 
 
+def test_writes_that_die_lose_nothing(spark, entities, tmp_path, monkeypatch):
+    s = store.EntityStore(spark, f"{tmp_path}/t", 4)
+    people = entities.where("schema = 'Person'")
+    with monkeypatch.context() as m:
+        m.setattr(store.EntityStore, "_place", lambda self, fresh, n: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            s.index("one", people)
+    assert s.version() == 0
+    s.index("one", people)
+    before, files = sorted(ids(s.read())), s._current()["parts"]
+    for step in ("_place", "_forget"):
+        with monkeypatch.context() as m:
+            m.setattr(store.EntityStore, step, lambda self, *a: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                s.index("one", entities.where("id = 'c1'"))
+        assert sorted(ids(s.read())) == (before if step == "_place" else sorted([*before, "c1"]))
+    s.index("two", entities.where("id = 'p1'"))
+    now = s._current()["parts"]
+    assert sorted(ids(s.read())) == sorted([*before, "c1"]) and sum(files.get(k) != v for k, v in now.items()) <= 2  # the parts of c1 and p1
+    twice = entities.where("id = 'p2'").withColumn("n", F.lit(1)).union(entities.where("id = 'p2'").withColumn("properties", F.create_map(F.lit("name"), F.array(F.lit("Last One")))).withColumn("n", F.lit(2)))
+    s.index("one", twice.drop("n").coalesce(1))
+    assert s.by_ids(["p2"]).first().caption == "Last One"
+    other = store.EntityStore(spark, s.path)
+    stale = s._current()
+    other.delete_ids(["p3"])
+    with pytest.raises(RuntimeError, match="another write"):
+        s._publish(s.read().limit(0), stale, set())
+    assert "p3" not in ids(s.read()) and {r.id for r in s.entities().collect()} == set(ids(s.read()))
+    assert s.put({"id": "q", "schema": "Person", "properties": {"name": ["Quite New"]}}, "one") == (1, 0)
+    index = s.search_index(4)
+    assert [r._id for r in index.search(S.parse("quite")).collect()] == ["q"] and s.search_index().post.count() == index.post.count()
+
+
+def test_names_picked_in_batches(spark):
+    from sparkloom.functions import names as N
+
+    rows = [("anna berg", "anna bergh", "ana berg", "zed", "hanna bergman", "a b", "annabel"), ("x", "y")]
+    got = spark.createDataFrame([(list(r),) for r in rows], "n array<string>").select(matching.picked(F.col("n"), 4).alias("p")).collect()
+    assert [r.p for r in got] == [N.pick_names(list(r), 4) for r in rows]
+
+
 def test_json_lines_and_duplicates(spark, tmp_path):
     lines = [json.dumps({"id": "a", "schema": "Person", "properties": {"name": ["X Y"]}, "mutable": True, "origin": ["u", "v"]}), "not json", json.dumps({"schema": "Person"})]
     (tmp_path / "e.json").write_text("\n".join(lines))
     row = store.read_entities(spark, str(tmp_path / "e.json")).collect()
-    assert len(row) == 1 and row[0].origin == ["u", "v"] and row[0].mutable == ["true"]
+    assert [r.id for r in row] == ["a", None, None] and row[0].origin == ["u", "v"] and row[0].mutable == ["true"]
+    assert store.EntityStore(spark, f"{tmp_path}/t").index("one", store.read_entities(spark, str(tmp_path / "e.json"))) == (1, 2)
     d = spark.createDataFrame([("a", "pages"), ("a", "documents"), ("b", "documents")], "_id string, index_bucket string")
     assert ids(store.cross_bucket_duplicates(d)) == ["a"]
     assert sorted(tuple(r) for r in store.without_cross_bucket_duplicates(d).collect()) == [("a", "pages"), ("b", "documents")]
