@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import model, scratch, streaming
+from . import model, scratch
 from .functions import names as N
 from .functions import text as X
 from .operators import facets, fulltext, geo, matching, phrases, significant, similar, sorting
@@ -525,18 +525,6 @@ def upsert_latest(spark, sf):
     return store.latest(table(spark, sf, "events"), "user_id", "ts").select("user_id", "event_id")
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_event_counts(spark, sf):
-    out = streaming.event_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
-
-
-@query(f"{_PASSAGES} SELECT doc_id, item_id FROM d JOIN b ON contains(x, y)")
-def stream_percolate(spark, sf):
-    hits = streaming.percolate_stream(texts(spark, sf).select("_id", "content"), _benchmark_names(spark, sf), slop=0)
-    return hits.select(F.col("_id").cast("bigint").alias("doc_id"), F.col("entity_id").cast("bigint").alias("item_id")).distinct()
-
-
 @query()
 def flagship(spark, sf):
     """Free text with a filter: all hits with their scores."""
@@ -551,3 +539,6 @@ def flagship(spark, sf):
 
 ORACLE_SQL["flagship"] = f"""WITH {TOK}, {_BM25} SELECT s.doc_id::VARCHAR AS _id, source AS dataset, round(score, 6) AS score
 FROM s JOIN tok USING (doc_id) WHERE t = 'the' AND NOT list_contains(ts, 'idiot') AND lang = 'en'"""
+
+
+from . import request_queries  # noqa: E402, F401  (registers its queries)
