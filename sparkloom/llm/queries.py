@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_by_length": divergence.op2_quality_by_length,
     "op3_document_fingerprints": sketch.op3_document_fingerprints,
     "op3_containment": sketch.op3_containment,
+    "op3_source_overlap": sketch.op3_source_overlap,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_quality_classifier": kneser.op5_quality_classifier,
     "op6_warc_bundles": warc.op6_warc_bundles,
