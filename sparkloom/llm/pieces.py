@@ -51,9 +51,9 @@ UNIT, FAR = 1 << 20, 1 << 60
 #: What a character that is no piece costs more than the worst piece (as the library has it).
 FALLBACK = 10.0
 #: So much text is encoded at a time, in bytes; a longer text by itself.
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: A worker forgets the stretches it remembers when there are so many.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -244,7 +244,7 @@ class Encoder:
         #: where in ``codes`` its characters start, and how many.
         self.memory = np.zeros(0, V.U64)
         self.ids, self.codes = np.zeros(0, np.int32), np.zeros(0, np.uint32)
-        self.place = np.zeros((0, 4), np.int64)
+        self.place = np.zeros((0, 4), np.int32)
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging pieces a and b, from characters, gives just a and b: no
@@ -482,13 +482,13 @@ class Encoder:
             ids, start, count = self.stretches(codes, b, e)
             n = e - b
             kept = codes[np.arange(n.sum()) + np.repeat(b - (np.cumsum(n) - n), n)]
-            made = np.column_stack([start + len(self.ids), count, np.cumsum(n) - n + len(self.codes), n])
+            made = np.column_stack([start + len(self.ids), count, np.cumsum(n) - n + len(self.codes), n]).astype(np.int32)
             memory = np.concatenate([self.memory, distinct[new]])
             order = np.argsort(memory, kind="stable")
             self.memory, self.place = memory[order], np.concatenate([self.place, made])[order]
             self.ids, self.codes = np.concatenate([self.ids, ids]), np.concatenate([self.codes, kept])
             at = np.searchsorted(self.memory, distinct)
-        place = self.place[at[of]]
+        place = self.place[at[of]].astype(np.int64)
         same = place[:, 3] == length
         some = np.flatnonzero(same)
         n = length[some]
