@@ -29,7 +29,9 @@ SAMPLE_ROWS = 400
 #: A distance is too great if it is beyond MARGIN times the greatest of the sample's
 #: texts of like length. Texts of fewer letters than MIN_LETTERS aren't rejected for it.
 MARGIN, MIN_LETTERS = 1.25, 24
-_ROWS = 256
+#: So many rows, and about so much text in bytes, are counted at a time: the arrays made
+#: from a text take some 70 bytes for each of its own.
+_ROWS, _PART = 256, 250_000
 
 
 class Model(NamedTuple):
@@ -92,7 +94,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(DIMS + 1, np.int64)
         for batch in batches:
-            for part in V.slices(batch, "text"):
+            for part in V.slices(batch, "text", _PART):
                 for _, letters, m in counts(part.column("text")):
                     seen[:DIMS] += (m > 0).sum(0)
                     seen[DIMS] += (letters > 0).sum()
@@ -150,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, k: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in V.slices(batch, "text"):
+            for part in V.slices(batch, "text", _PART):
                 ids, langs = part.column("doc_id").to_pylist(), part.column("lang").to_pylist()
                 for a, letters, m in counts(part.column("text")):
                     rows = [(ids[a + i], langs[a + i], int(letters[i]), np.flatnonzero(m[i])) for i in np.flatnonzero(letters)]
@@ -195,7 +197,7 @@ def judged(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         idf, centroids, names, limits = sent.value
         named = np.array([*names, ""], object)
         for batch in batches:
-            for part in V.slices(batch, text):
+            for part in V.slices(batch, text, _PART):
                 said, far = np.full(part.num_rows, len(names)), np.ones(part.num_rows)
                 for a, letters, m in counts(part.column(text)):
                     if not len(centroids):

@@ -21,8 +21,9 @@ _LIBC = ctypes.CDLL(None)
 
 
 def give_back() -> None:
-    """Freed memory goes back to the system (glibc only), so that a worker process that
-    lives on doesn't keep what an earlier task needed."""
+    """Freed memory goes back to the system (Arrow's, and glibc's where there is one), so
+    that a worker process that lives on doesn't keep what an earlier task needed."""
+    pa.default_memory_pool().release_unused()
     if hasattr(_LIBC, "malloc_trim"):
         _LIBC.malloc_trim(0)
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -335,6 +336,39 @@ def test_language_on_texts_that_were_not_fitted(spark, sf_dir):
     assert {r.language for r in langid.identify(foreign, labels, model=fitted).collect()} == {None}
 
 
+class Given:
+    """A stand-in for a table: keeps the function that mapInArrow would send."""
+
+    def __init__(self, spark):
+        self.sparkSession, self.schema = spark, spark.range(0).selectExpr("'' as text").schema
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_language_id_takes_little_memory_for_much_text(spark, monkeypatch):
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefghijklmnoprstuvwyz", k=draw.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(draw.choices(words, k=draw.choice([0, 3, 400, 700]))) for _ in range(2400)]
+    texts[7] = " ".join(draw.choices(words, k=9000))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    assert batch.nbytes > 4_000_000
+    centroids = np.random.default_rng(3).random((6, langid.DIMS)).astype(np.float32)
+    model = langid.Model(np.ones(langid.DIMS, np.float32), centroids / np.linalg.norm(centroids, axis=1, keepdims=True), list("aabbcc"), np.ones(41))
+    given = Given(spark)
+    langid.judged(given, model)
+    list(given.run(iter([batch.slice(0, 9)])))  # tables of characters are made once
+    tracemalloc.start()
+    small = pa.Table.from_batches(given.run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6, peak
+    monkeypatch.setattr(langid, "_PART", 10**9)
+    whole = pa.Table.from_batches(given.run(iter([batch])))
+    assert small.num_rows == len(texts) and small.combine_chunks().equals(whole.combine_chunks())
+
+
 # mixing
 
 
