@@ -77,7 +77,7 @@ def order_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def part_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as companies: a name of words and a brand."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice"))
     return p.select(
         F.col("p_partkey").cast("string").alias("id"), F.lit("Company").alias("schema"),
         F.create_map(F.lit("name"), F.array(F.concat_ws(" ", "p_name", "p_brand")), F.lit("sector"), F.array("p_type"), F.lit("amount"), F.array(F.col("p_retailprice").cast("string"))).alias("properties"),

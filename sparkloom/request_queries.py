@@ -13,7 +13,7 @@ from .operators import predicates as P
 from .plans import search as S
 from .plans.params import from_url
 from .plans.query_string import parse
-from .queries import _BM25, _PART, _PASSAGES, TOK, _benchmark_names, order_docs, part_docs, part_entities, query, table, text_index, texts
+from .queries import _BM25, _PART, _PASSAGES, TOK, _benchmark_names, order_docs, part_docs, part_entities, query, spread, table, text_index, texts
 from .sources import store, transform
 
 
@@ -29,7 +29,7 @@ def asked(spark, sf, q: str, args: str) -> S.EntitiesQuery:
 
 
 def supplier_entities(spark, sf) -> DataFrame:
-    s = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 rows
+    s = spread(table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")).join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 rows
     text = lambda c: F.array(F.col(c).cast("string"))
     k = F.col("s_suppkey")
     props = F.create_map(
@@ -340,7 +340,7 @@ def store_buckets(spark, sf):
     """Only the files of a class's buckets are read: of things here, with one put by itself."""
     s = new_store(spark, "store")
     s.index("suppliers", supplier_entities(spark, sf))
-    pay = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("Payment").alias("schema"), F.create_map(F.lit("amount"), F.array(F.col("o_totalprice").cast("string"))).alias("properties"))
+    pay = spread(table(spark, sf, "orders").select("o_orderkey", "o_totalprice")).select(F.col("o_orderkey").cast("string").alias("id"), F.lit("Payment").alias("schema"), F.create_map(F.lit("amount"), F.array(F.col("o_totalprice").cast("string"))).alias("properties"))
     s.index("orders", pay.withColumn("id", F.concat(F.lit("o"), "id")))
     s.put({"id": "one more", "schema": "Person", "properties": {"name": ["One More"]}}, "people")
     return s.read(["Organization", "Person"]).groupBy(F.col("index_bucket").alias("bucket")).agg(F.count("*").alias("n"))

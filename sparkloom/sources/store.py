@@ -30,6 +30,11 @@ if TYPE_CHECKING:
     from ..operators.fulltext import SearchIndex
 
 PARTITION = "index_bucket"
+#: About how many documents a task writes, and how many ids it compares: the size of a
+#: document as Parquet says little of its size in memory.
+ROWS, IDS = 100_000, 1_000_000
+#: So many ids, counted, are sent to all tasks; more are shuffled.
+FEW_IDS = 100_000
 
 
 class IndexStats(NamedTuple):
@@ -64,6 +69,22 @@ def latest(rows: DataFrame, key: str = "_id", order: str = "seq") -> DataFrame:
     return rows.withColumn("k__", F.row_number().over(first)).where("k__ = 1").drop("k__")
 
 
+def _few(ids: DataFrame, n: int) -> DataFrame:
+    """The smaller side of a join: its estimated size says nothing, as it is that of
+    documents cut down to their ids."""
+    return F.broadcast(ids) if n <= FEW_IDS else ids.hint("shuffle_hash")
+
+
+def _last(rows: DataFrame, n: int) -> DataFrame:
+    """Of ``n`` documents those that are the last of their id, by ``at__``. Only ids are
+    shuffled, unless many are repeated."""
+    ids = rows.select("_id", "at__").repartition(n // IDS + 1, "_id")
+    again = written(ids.groupBy("_id").agg(F.count("*").alias("n__"), F.max("at__").alias("last__")).where("n__ > 1").select("_id", "last__"), "again")
+    if repeated := again.count():
+        rows = rows.join(_few(again, repeated), "_id", "left").where("last__ is null or at__ = last__").drop("last__")
+    return rows
+
+
 def shard_of(_id: str, shards: int) -> int:
     return zlib.crc32(_id.encode()) % shards
 
@@ -108,12 +129,14 @@ class EntityStore:
     def _part(bucket: str, shard: int) -> str:
         return f"{PARTITION}={bucket}/shard={shard}"
 
-    def _publish(self, df: DataFrame, was: dict, touched: set[str] | None) -> None:
-        """Writes ``df`` as the whole of the touched parts (None: of all) and makes this
-        the next version."""
+    def _publish(self, df: DataFrame, was: dict, touched: set[str] | None, rows: int = 0) -> None:
+        """Writes ``df`` of about so many rows as the whole of the touched parts (None: of
+        all) and makes this the next version."""
         n, write, shards = was["version"] + 1, f"{was['version'] + 1}-{uuid.uuid4().hex[:12]}", was["shards"]
         placed = df.withColumns({"shard": (F.crc32(F.col("_id").cast("binary")) % shards).cast("int"), "write": F.lit(write)})
-        placed.hint("rebalance", PARTITION, "shard").write.mode("append").partitionBy(PARTITION, "shard", "write").parquet(f"{self.path}/data")
+        slices = 2 * rows // (ROWS * max(1, len(model.BUCKETS) * shards if touched is None else len(touched))) + 1
+        placed = placed.repartition(rows // ROWS + 1, PARTITION, "shard", F.pmod(F.xxhash64("_id"), F.lit(slices)))
+        placed.write.mode("append").partitionBy(PARTITION, "shard", "write").parquet(f"{self.path}/data")
         fs, path = self._fs()
         parts = {} if touched is None else {k: v for k, v in was["parts"].items() if k not in touched}
         names = touched if touched is not None else {self._part(b, i) for b in model.BUCKETS for i in range(shards)}
@@ -183,16 +206,23 @@ class EntityStore:
         rows = written(docs.withColumns({"ok__": ok, "at__": F.monotonically_increasing_id()}), "upsert")
         counts = rows.agg(F.count_if("ok__").alias("ok"), F.count_if(~F.col("ok__")).alias("bad")).first()
         shard = (F.crc32(F.col("_id").cast("binary")) % was["shards"]).cast("int").alias("shard")
-        new = latest(rows.where("ok__"), "_id", "at__").drop("ok__", "at__").withColumn("seq", F.lit(was["version"] + 1).cast("bigint"))
+        new = _last(rows.where("ok__"), counts.ok).drop("ok__", "at__").withColumn("seq", F.lit(was["version"] + 1).cast("bigint"))
         touched = {self._part(r[0], r.shard) for r in new.select(PARTITION, shard).distinct().collect()}  # at most buckets x shards
+        there = 0
         if was["version"]:
             near = {int(k.rpartition("=")[2]) for k in touched}
             old = self._read(was, shards=near)
-            gone = old.select("_id", PARTITION, shard).join(new.select("_id"), "_id", "left_semi")
-            touched |= {self._part(r[0], r.shard) for r in gone.select(PARTITION, "shard").distinct().collect()}
+            there = old.count()
+            tasks = (there + counts.ok) // IDS + 1
+            ids = new.select("_id").repartition(tasks, "_id").hint("shuffle_hash")
+            gone = written(old.select("_id", PARTITION).repartition(tasks, "_id").join(ids, "_id", "left_semi"), "gone")
+            parts = gone.groupBy(PARTITION, shard).agg(F.count("*").alias("n")).collect()  # at most buckets x shards
+            touched |= {self._part(r[0], r.shard) for r in parts}
             kept = old.where(F.concat(F.lit(f"{PARTITION}="), PARTITION, F.lit("/shard="), shard).isin(sorted(touched)))
-            new = kept.join(new.select("_id"), "_id", "left_anti").unionByName(new, allowMissingColumns=True)
-        self._publish(new, was, touched)
+            if replaced := sum(r.n for r in parts):
+                kept = kept.join(_few(gone.select("_id"), replaced), "_id", "left_anti")
+            new = kept.unionByName(new, allowMissingColumns=True)
+        self._publish(new, was, touched, there + counts.ok)
         return IndexStats(counts.ok, counts.bad)
 
     def index(self, dataset: str, entities: DataFrame, **more) -> IndexStats:
@@ -215,7 +245,7 @@ class EntityStore:
             touched = {self._part(r[0], r.shard) for r in gone}
             left = self._read(was, sorted({r[0] for r in gone}), {r.shard for r in gone})
             left = left.where(F.concat(F.lit(f"{PARTITION}="), PARTITION, F.lit("/shard="), shard).isin(sorted(touched)))
-            self._publish(left.where(~F.coalesce(where, F.lit(False))), was, touched)
+            self._publish(left.where(~F.coalesce(where, F.lit(False))), was, touched, left.count())
         return sum(r.n for r in gone)
 
     def delete_ids(self, ids: list[str]) -> int:
@@ -265,7 +295,8 @@ class EntityStore:
         """Documents of these ids, from their shards; of a table with ``_id``, by a join."""
         now = self._current()
         if isinstance(ids, DataFrame):
-            df = self._read(now).join(ids.select("_id").distinct(), "_id", "left_semi")
+            wanted = written(ids.select("_id").distinct(), "ids")
+            df = self._read(now).join(_few(wanted, wanted.count()), "_id", "left_semi")
         else:
             df = self._read(now, shards={shard_of(i, now["shards"]) for i in ids}).where(F.col("_id").isin(ids))
         return df.select(*columns) if columns else df
