@@ -1,5 +1,6 @@
 """What keeps plans in bounds on larger tables."""
 
+from sparkloom.operators import matching
 from sparkloom.sources import store
 from sparkloom.sources.store import EntityStore
 
@@ -35,3 +36,24 @@ def test_upsert_of_more_ids_than_are_sent(spark, tmp_path, monkeypatch):
         assert {r._id: r.caption for r in s.read().collect()} == {"a": "New a", "b": "New b", "c": "First c", "d": "First d", "x": "Old x"}
         wanted = spark.createDataFrame([("a",), ("a",), ("d",), ("no",)], "_id string")
         assert sorted(r._id for r in s.by_ids(wanted).collect()) == ["a", "d"]
+
+
+def test_units_and_tiles_meet_once(spark, monkeypatch):
+    """Blocks of two members and tiles of two units give each pair once; nothing is made distinct afterwards."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(matching, "BLOCK", 2)
+    monkeypatch.setattr(matching, "TILE", 2)
+    rows = [(f"{i:02d}", "Company", [f"n{i % 5}"], [f"key{i % 5}", f"more{i % 3}"], ["BRNT"] if i % 4 else [], [], []) for i in range(40)]
+    kinds = "_id string, schema string, names array<string>, name_keys array<string>, name_phonetic array<string>, name_symbols array<string>, identifiers array<string>"
+    docs = spark.createDataFrame(rows, kinds)
+    found = matching.blocking_pairs(docs)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    keys = {r[0]: {*r[3], *r[4]} for r in rows}
+    want = sorted((a, b) for a in keys for b in keys if a < b and keys[a] & keys[b])
+    assert sorted((r.a, r.b) for r in found.collect()) == want
+    full = docs.withColumns({"name_parts": F.col("name_keys"), "properties": F.create_map(F.lit("sector"), F.array(F.lit("shipping and trade")))})
+    both, one = matching.matches(full, full), matching.matches(full.where("true"), full)
+    assert "Aggregate" not in both._jdf.queryExecution().optimizedPlan().toString()
+    got = [{(r.source_id, r._id): round(r.score, 6) for r in x.collect()} for x in (both, one)]
+    assert got[0] == got[1] and len(got[0]) == both.count()
