@@ -36,12 +36,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """A table that is read in fewer parts than there are cores, and is small enough to
-    be moved (``SPREAD_BYTES``), is spread over them before its texts are analysed; a
-    larger one stays as it is read."""
+    be moved (``SPREAD_BYTES``), is spread over them by its first column before its
+    texts are analysed; a larger one stays as it is read. It is written so, as filters
+    on what is analysed would be worked out before the spread too."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
+    return scratch.written(df.repartition(cores, df.columns[0]), "spread") if size < SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
 # the test tables as documents

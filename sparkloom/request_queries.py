@@ -252,7 +252,7 @@ def signed_ids(spark, sf):
 SELECT x.id AS source, count(*) AS n FROM k x JOIN k y ON x.ts = y.ts AND x.id <> y.id GROUP BY 1""")
 def blocking_counts(spark, sf):
     """Of each part how many others share its name key: groups are counted, no pair is made."""
-    keys = part_docs(spark, sf).select("_id", F.explode("name_keys").alias("key"))
+    keys = scratch.written(part_docs(spark, sf).select("_id", F.explode("name_keys").alias("key")), "keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     return keys.join(sizes, "key").select(F.col("_id").cast("bigint").alias("source"), (F.col("m") - 1).alias("n"))
 
