@@ -48,7 +48,7 @@ def fold(text: Column) -> Column:
 
 def fold_text(text: str) -> str:
     """The same for one text on the driver."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.category(c).startswith("M"))
     return "".join(_SPECIAL.get(c, c) for c in plain)
 
 
@@ -100,7 +100,9 @@ def exploded(df: DataFrame, text: Column, analyzer: str, *more: str | Column) ->
     return each.select(*kept, F.explode(F.split("word__", ZWJ)).alias("term")).where("term <> ''")
 
 
-_PY_WORD = re.compile(rf"[一-鿿㐀-䶿]|[\w{ZWJ}]+(?:[.'’][\w{ZWJ}]+)*")
+#: Marks that stand by themselves, as in decomposed accents, belong to a word too; ``\w`` hasn't them.
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.category(c).startswith("M"))
+_PY_WORD = re.compile(rf"[一-鿿㐀-䶿]|[\w{_MARKS}{ZWJ}]+(?:[.'’][\w{_MARKS}{ZWJ}]+)*")
 
 
 def words_of(text: str, analyzer: str = "folded") -> list[str]:

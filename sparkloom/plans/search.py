@@ -330,7 +330,7 @@ def _with_mentions_marked(query: _Scored, out: Result) -> Result:
     names = query.names.select("entity_id", "name").distinct()
     own = hits.select("_id", F.explode("mention_sources").alias("entity_id")).join(names, "entity_id").groupBy("_id").agg(F.collect_set("name").alias("fired"))
     text = query.index.docs.select("_id", "content").join(F.broadcast(hits.select("_id")), "_id", "left_semi")  # a page
-    marked = highlighting.phrase_passages(hits.drop("content").join(own, "_id").join(text, "_id"), "fired", query.params.highlight_count)
+    marked = highlighting.phrase_passages(hits.drop("content").join(own, "_id").join(text, "_id"), "fired", query.params.highlight_count, no_match=SETTINGS.highlight_no_match)
     hits = marked.drop("fired", "content").orderBy(*sorting.sort_columns(marked, query.sorts()))
     return replace(out, hits=hits)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import model, scratch, streaming
 from .functions import names as N
+from .functions import text as X
 from .operators import facets, fulltext, highlighting, phrases, significant, sorting
 from .operators import predicates as P
 from .plans import search as S
@@ -155,8 +156,7 @@ def percolate_surface_forms(spark, sf):
     rows = hits.join(index.docs.select(F.col("_id"), "content"), "_id").withColumn("fired", F.array("name"))
     keyed = rows.select(F.concat_ws("/", "_id", "entity_id", F.md5("name")).alias("_id"), F.col("_id").alias("doc"), "content", "fired", "name")
     out = highlighting.phrase_passages(keyed, "fired", slop=0)
-    flat = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")
-    same = F.exists("surface_forms", lambda f: F.trim(flat(f)) == F.trim(flat(F.col("name"))))
+    same = F.exists("surface_forms", lambda f: X.words(f) == X.words(F.col("name")))  # by words, as the place may be written otherwise
     return out.where(same).groupBy(F.col("doc").cast("bigint").alias("doc_id")).agg(F.count("*").alias("n"))
 
 
