@@ -9,9 +9,13 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import text as X
 from ..operators.phrases import phrase_table
+from ..scratch import written
 from ..sources import transform
 from ..sources.store import EntityStore
 
+#: Words of a text that are looked at together, at least; words that are looked up in a set that comes with the plan.
+BLOCK, FEW_TERMS = 256, 10_000
+
 
 def ingest(entities: DataFrame, store: EntityStore, dataset: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Upsert each micro-batch of entities. A batch that is repeated after a failure
@@ -28,17 +32,27 @@ def percolate_stream(texts: DataFrame, names: DataFrame, slop: int = 2) -> DataF
     """(_id, entity_id, name) of every arriving text (_id, content) and every name it
     mentions: a stateless stream-static join. Each phrase is looked up by its longest
     word, and the rest of it is tested against the words nearby, so no aggregation
-    over the stream is needed. Repeats come once for each place."""
+    over the stream is needed. A word takes with it only its block of the text, which
+    is as long as phrases need; words that aren't looked up go before anything is
+    joined, while there are few to look up. Repeats come once for each place."""
     flat = phrase_table(names).groupBy("phrase", "entity_id", "name").agg(
         F.array_sort(F.collect_list(F.struct("slot", "term"))).alias("slots"),
         F.max(F.struct(F.length("term").alias("n"), "term", "slot")).alias("anchor"),
     )
-    static = flat.select("entity_id", "name", "slots", F.col("anchor.term").alias("term"), F.col("anchor.slot").alias("own"))
-    toks = texts.select("_id", X.tokens(F.col("content")).alias("ts"))
-    starts = toks.select("_id", "ts", F.explode("ts").alias("t")).select("_id", "ts", F.col("t.term").alias("term"), F.col("t.pos").alias("at"))
+    static = written(flat.select("entity_id", "name", "slots", F.col("anchor.term").alias("term"), F.col("anchor.slot").alias("own")), "phrases")
+    reach = (static.agg(F.max(F.size("slots")).alias("n")).first().n or 0) + slop
+    block = max(BLOCK, 4 * reach)
+    looked_up = [r.term for r in static.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    few = len(looked_up) <= FEW_TERMS
+    of_text = texts.select("_id", X.tokens(F.col("content")).alias("ts"))
+    starts = F.sequence(F.lit(0), F.coalesce(F.get("ts", F.size("ts") - 1)["pos"], F.lit(0)), F.lit(block))
+    blocks = of_text.select("_id", "ts", F.explode(starts).alias("from"))
+    toks = blocks.select("_id", "from", F.filter("ts", lambda t: t["pos"].between(F.col("from") - reach, F.col("from") + block - 1 + reach)).alias("ts"))
+    wanted = F.filter("ts", lambda t: t["pos"].between(F.col("from"), F.col("from") + block - 1) & (t["term"].isin(looked_up) if few else F.lit(True)))
+    starts = toks.select("_id", "ts", F.explode(wanted).alias("t")).select("_id", "ts", F.col("t.term").alias("term"), F.col("t.pos").alias("at"))
     base = F.col("at") - F.col("own")  # the displacement of the word looked up
     near = F.filter("ts", lambda t: t["pos"].between(base - slop, base + F.size("slots") + slop))
-    met = starts.join(static, "term").select("_id", "entity_id", "name", "slots", base.alias("base"), near.alias("near"))
+    met = starts.join(F.broadcast(static) if few else static, "term").select("_id", "entity_id", "name", "slots", base.alias("base"), near.alias("near"))
 
     def fits(low):
         """Whether every slot has a word whose displacement is in [low, low + slop]."""
