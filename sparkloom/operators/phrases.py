@@ -18,6 +18,8 @@ from .fulltext import SearchIndex, sloppy
 
 #: Weight of a match by the kind of name.
 TAGS = {"name": 2.0, "other_name": 0.8}
+#: So many ids of documents, counted, are sent to all tasks.
+FEW_IDS = 100_000
 
 
 def phrase_table(names: DataFrame, analyzer: str = "folded") -> DataFrame:
@@ -50,9 +52,11 @@ def found(phrases: DataFrame, tokens: DataFrame | SearchIndex, slop: int = SETTI
     """(phrase, _id, freq): where each distinct phrase is, among tokens or in a field of
     an index. A phrase is looked for only in texts that have the rarest of its terms,
     so that common words never meet all texts; pairs that lack a slot go before the
-    window."""
+    window. Candidates are written; of an index only their documents' postings are met,
+    and positions are spread out of those that have every slot."""
     slots = phrases.select("phrase", "slot", "term", "n_slots").distinct()
     wanted = slots.select("term").distinct()
+    post = None
     if isinstance(tokens, SearchIndex):
         post = tokens.post.where(F.col("field") == field)
         if tokens.terms is None:
@@ -61,19 +65,26 @@ def found(phrases: DataFrame, tokens: DataFrame | SearchIndex, slop: int = SETTI
         else:
             known = tokens.terms.where(F.col("field") == field).join(wanted, "term", "left_semi")
             df, post = known.select("term", "df"), post.join(known.select("tb", "term"), ["tb", "term"], "left_semi")
-        places, tokens = post.select("_id", "term"), post.select("_id", "term", F.explode("positions").alias("pos"))
+        places = post.select("_id", "term")
     else:
         places = tokens.select("_id", "term").distinct().join(wanted, "term", "left_semi")
         df = places.groupBy("term").agg(F.count("*").alias("df"))
     rarest = slots.join(df, "term", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"))
     anchors = rarest.where("r.df > 0").select("phrase", F.col("r.term").alias("term"))
-    candidates = places.join(anchors, "term").select("_id", "phrase")
-    met = candidates.join(slots, "phrase").join(tokens, ["_id", "term"])
-    single = met.where("n_slots = 1").groupBy("phrase", "_id").agg(F.count("*").cast("double").alias("freq"))
-    several = met.where("n_slots > 1")
-    whole = several.groupBy("phrase", "_id", "n_slots").agg(F.count_distinct("slot").alias("n")).where("n = n_slots").select("phrase", "_id")
-    left = several.join(whole, ["phrase", "_id"])
-    return single.unionByName(sloppy(left.select("phrase", "_id", "slot", "pos", "n_slots"), slop, ["phrase", "_id"]))
+    candidates = written(places.join(anchors, "term").select("_id", "phrase"), "candidates")
+    if post is None:
+        met = candidates.join(slots, "phrase").join(tokens, ["_id", "term"])
+        n = F.count_distinct("slot")
+    else:
+        ids = written(candidates.select("_id").distinct(), "ids")
+        near = post.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "_id", "left_semi").select("_id", "term", "positions")
+        met, n = candidates.join(slots, "phrase").join(near, ["_id", "term"]), F.count("*")
+    whole = met.where("n_slots > 1").groupBy("phrase", "_id", "n_slots").agg(n.alias("n")).where("n = n_slots").select("phrase", "_id")
+    single, left = met.where("n_slots = 1"), met.where("n_slots > 1").join(whole, ["phrase", "_id"])
+    if post is not None:
+        single, left = (df.withColumn("pos", F.explode("positions")) for df in (single, left))
+    once = single.groupBy("phrase", "_id").agg(F.count("*").cast("double").alias("freq"))
+    return once.unionByName(sloppy(left.select("phrase", "_id", "slot", "pos", "n_slots"), slop, ["phrase", "_id"]))
 
 
 def percolate(names: DataFrame, texts: DataFrame | SearchIndex, id_col: str = "_id", text_col: str = "content", slop: int = SETTINGS.percolate_slop) -> DataFrame:

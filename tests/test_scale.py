@@ -1,8 +1,10 @@
 """What keeps plans in bounds on larger tables."""
 
+import re
+
 from sparkloom.functions.text import ZWJ
 from sparkloom import streaming
-from sparkloom.operators import fulltext, highlighting, matching
+from sparkloom.operators import fulltext, highlighting, matching, phrases
 from sparkloom.sources import store
 from sparkloom.sources.store import EntityStore
 
@@ -111,3 +113,17 @@ def test_stream_words_take_only_their_block(spark, tmp_path, monkeypatch):
         assert sorted(int(r.entity_id) for r in found.distinct().collect()) == list(range(98))
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("filter(ts") >= 2 and (" IN (" in plan or " INSET " in plan) == bool(few)
+
+
+def test_only_candidates_have_their_postings_met(spark, tmp_path, monkeypatch):
+    """Of an index only the postings of documents with a phrase's rarest word meet its slots,
+    whether their ids are sent or joined."""
+    docs = spark.createDataFrame([("a", "the rare bird of the sea"), ("b", "of the sea the bird"), ("c", "sea of the rare"), ("d", "rare")], "_id string, content string")
+    fulltext.save_index(docs, f"{tmp_path}/i", ["content"], 2)
+    index = fulltext.load_index(spark, f"{tmp_path}/i", docs, {"content": 1.0})
+    names = spark.createDataFrame([("x", "name", "rare bird of the"), ("y", "name", "of the sea"), ("z", "name", "rare")], "entity_id string, tag string, name string")
+    for few in (100_000, 0):
+        monkeypatch.setattr(phrases, "FEW_IDS", few)
+        found = phrases.percolate(names, index, slop=0)
+        assert re.search(r"Join LeftSemi, \(_id", found._jdf.queryExecution().optimizedPlan().toString())
+        assert sorted((r._id, r.entity_id) for r in found.collect()) == [("a", "x"), ("a", "y"), ("a", "z"), ("b", "y"), ("c", "z"), ("d", "z")]
